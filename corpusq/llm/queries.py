@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusq.llm import lang_id, quality
 from corpusq.llm.common import read
 from corpusq.llm.exact_dedup import exact_dedup
 from corpusq.llm.line_dedup import line_dedup
+from corpusq.llm.sp_fst import encode_digest
+from corpusq.llm.token_count import token_counts
 from corpusq.llm.topk import exact_topk
 from corpusq.llm.url_filter import judge_urls
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.fit(docs, read(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -24,6 +37,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read(spark, sf_dir, "documents"), ratio=0.05, min_pages=5)
     return out.select("doc_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -33,7 +50,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filter, op5_exact_topk, op8_line_dedup, op9_exact_dedup)}
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lang_id.predict(docs, lang_id.fit(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_token_counts, op4_url_filter, op5_exact_topk, op7_sentencepiece, op8_line_dedup, op9_exact_dedup, op10_lang_id)}
 
 ORACLE_SQL = {
     "op5_exact_topk": """
