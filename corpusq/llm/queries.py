@@ -12,6 +12,7 @@ from corpusq.llm import lang_id, quality
 from corpusq.llm.common import read
 from corpusq.llm.exact_dedup import exact_dedup
 from corpusq.llm.line_dedup import line_dedup
+from corpusq.llm.packing import pack
 from corpusq.llm.sp_fst import encode_digest
 from corpusq.llm.token_count import token_counts
 from corpusq.llm.topk import exact_topk
@@ -37,6 +38,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -55,7 +60,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, lang_id.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_token_counts, op4_url_filter, op5_exact_topk, op7_sentencepiece, op8_line_dedup, op9_exact_dedup, op10_lang_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_token_counts, op4_url_filter, op5_exact_topk, op6_packing, op7_sentencepiece, op8_line_dedup, op9_exact_dedup, op10_lang_id)}
 
 ORACLE_SQL = {
     "op5_exact_topk": """
