@@ -34,16 +34,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is set only where it is unset
-    (single-machine tests).
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset (single-machine tests)."""
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(named)
+        return named
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusq-checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

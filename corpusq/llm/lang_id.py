@@ -265,29 +265,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return calibrate(fit_counts(words, order), texts, langs)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", group: int = 1000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", group: int = 1000, carry: list[str] | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, cross_entropy, rejected.
 
     ``und`` (score 0, rejected) if a text is null or has no letter. Ties of languages go to the first name.
     Whole texts are scored, however long. Rows may repeat and ids be null (held_out is then null); an empty
-    table gives an empty result; further columns are ignored. No shuffle.
+    table gives an empty result; further columns are ignored, but those
+    named in ``carry`` stand in front of the new ones (instead of doc_id; the new ones' names then begin with
+    ``__``). No shuffle.
     """
     ship(docs.sparkSession)
     m = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col(text_col).cast("binary").alias("__text"), *([F.col(id_col).alias("doc_id")] if carry is None else carry))
+    names, pre = rows.columns[1:], "" if carry is None else "__"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = m.value, Scorer(m.value)
         for whole in batches:
             for at in range(0, whole.num_rows, group):
                 batch = whole.slice(at, group)
-                h, n = scorer.texts(batch.column(1).to_pylist())
+                h, n = scorer.texts(batch.column(0).to_pylist())
                 best, p = h.argmin(1), _softmax(-h * model.sharpness).max(1)
                 has, low = n > 0, h.min(1)
                 out = np.where(has, np.array(model.langs, object)[best], "und")
                 rejected = ~has | (low > model.reject_above) | (p < model.reject_below)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.tolist(), pa.string()), pa.array(np.where(has, p, 0.0)), pa.array(np.where(has, low, 0.0)), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out.tolist(), pa.string()), pa.array(np.where(has, p, 0.0)), pa.array(np.where(has, low, 0.0)), pa.array(rejected)], [*names, *(pre + c for c in ("lang_pred", "score", "cross_entropy", "rejected"))])
 
-    found = rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
+    found = rows.mapInArrow(run, f"{kinds}{pre}lang_pred string, {pre}score double, {pre}cross_entropy double, {pre}rejected boolean")
+    if carry is not None:
+        return found
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")

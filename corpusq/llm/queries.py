@@ -12,6 +12,7 @@ from corpusq.llm import lang_id, quality
 from corpusq.llm.common import read
 from corpusq.llm.exact_dedup import exact_dedup
 from corpusq.llm.line_dedup import line_dedup
+from corpusq.llm.near_dup import near_classes
 from corpusq.llm.packing import pack
 from corpusq.llm.sp_fst import encode_digest
 from corpusq.llm.token_count import token_counts
@@ -26,6 +27,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, quality.fit(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read(spark, sf_dir, "documents"), least=0.8)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -60,7 +65,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, lang_id.fit(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_token_counts, op4_url_filter, op5_exact_topk, op6_packing, op7_sentencepiece, op8_line_dedup, op9_exact_dedup, op10_lang_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_minhash, op3_token_counts, op4_url_filter, op5_exact_topk, op6_packing, op7_sentencepiece, op8_line_dedup, op9_exact_dedup, op10_lang_id)}
 
 ORACLE_SQL = {
     "op5_exact_topk": """
