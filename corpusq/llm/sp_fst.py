@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from corpusq.llm.common import ship
 from corpusq.llm.pieces import SPACE, Pieces, batch_keys, load, spelled
 
-MEMORY = 300_000
+#: Entries of a worker's memory of solved pre-tokens, and of parts; a full one starts anew.
+MEMORY = 600_000
 INF = float("inf")
+#: Weight of byte fallback in a unigram model: more than any piece.
+FALLBACK = 1e6
 
 
 class Transducer:
@@ -36,13 +39,13 @@ class Transducer:
         self.spells = [t.replace(SPACE, " ").encode() if u else b"" for t, u in zip(pieces.texts, pieces.usable, strict=True)]
         for b, i in enumerate(pieces.byte_ids):
             self.spells[i] = bytes([b])
-        #: All first characters and lengths of pieces, so that few spans are looked up.
-        lengths: dict[str, set[int]] = {}
-        for t in self.ids:
-            lengths.setdefault(t[0], set()).add(len(t))
-        self.lengths = {c: sorted(n) for c, n in lengths.items()}
+        #: The states that reading a piece passes through: each beginning of a piece, with the piece's id if it ends there, else -1.
+        self.states = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
+        #: Characters that stand side by side in some piece. Between two others every path has a node, so texts fall apart there.
+        self.inside = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         self.together: dict[int, bool] = {}
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by its definition: merge the best (then leftmost) pair while there is one."""
@@ -59,7 +62,7 @@ class Transducer:
 
     def weight(self, last: int, piece: int) -> float:
         """Of an arc for ``piece`` after ``last`` (-1: at the start or after byte fallback)."""
-        if not self.pieces.bpe:
+        if not self.pieces.bpe:  # byte fallback and unigram pieces stand anywhere
             return -self.scores[piece]
         key = (last + 1) << 24 | piece
         ok = self.together.get(key)
@@ -73,42 +76,93 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Piece ids of the shortest path through the lattice of a normalised text."""
+        return self.only_finite(text) if self.pieces.bpe else self.cheapest(text)
+
+    def only_finite(self, text: str) -> list[int]:
+        """Where weights are 0 or infinite: the one path of weight 0, depth first, long pieces first.
+
+        As only one path of finite weight leads to a position, a position without a way on is on no complete
+        path and is never tried again.
+        """
+        n, get, together, weight = len(text), self.states.get, self.together.get, self.weight
+        dead = bytearray(n + 1)
+        nodes, pieces = [0], [-1]  # positions reached, and the piece that led to each (-1: none or byte fallback)
+        while (i := nodes[-1]) < n:
+            ends, j = [], i + 1
+            while j <= n and (p := get(text[i:j])) is not None:
+                if p >= 0:
+                    ends.append((j, p))
+                j += 1
+            after = (pieces[-1] + 1) << 24
+            if not ends or ends[0][0] != i + 1:  # the first character is no piece
+                ends.insert(0, (i + 1, -1))
+            for j, p in reversed(ends):
+                if dead[j]:
+                    continue
+                if p < 0:
+                    break
+                ok = together(after | p)
+                if ok is None:
+                    ok = weight(pieces[-1], p) == 0
+                if ok:
+                    break
+            else:
+                dead[i] = 1
+                nodes.pop(), pieces.pop()
+                continue
+            nodes.append(j), pieces.append(p)
+        out: list[int] = []
+        for a, b, p in zip(nodes, nodes[1:], pieces[1:], strict=False):
+            out.extend([p] if p >= 0 else [self.pieces.byte_ids[x] for x in text[a:b].encode("utf-8", "replace")])
+        return out
+
+    def cheapest(self, text: str) -> list[int]:
+        """Where weights add up: position by position, keep the cheapest way to it."""
         n = len(text)
         cost, last, back = [INF] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
         cost[0] = 0.0
-        get, together = self.ids.get, self.together.get
         for i in range(n):
-            c = cost[i]
-            if c == INF:
-                continue
             one = False
-            for size in self.lengths.get(text[i], ()):
-                j = i + size
-                if j > n:
-                    break
-                p = get(text[i:j])
+            for j in range(i + 1, n + 1):
+                p = self.states.get(text[i:j])
                 if p is None:
-                    continue
-                one |= size == 1
-                w = c + (0.0 if self.pieces.bpe and together((last[i] + 1) << 24 | p) else self.weight(last[i], p))
-                if w < cost[j]:
-                    cost[j], last[j], back[j] = w, p, i
-            if not one:  # byte fallback costs more than any piece of a unigram model
-                w = c + (0.0 if self.pieces.bpe else 1e6)
-                if w < cost[i + 1]:
-                    cost[i + 1], last[i + 1], back[i + 1] = w, -1, i
+                    break
+                if p >= 0:
+                    one |= j == i + 1
+                    if (w := cost[i] + self.weight(last[i], p)) < cost[j]:
+                        cost[j], last[j], back[j] = w, p, i
+            if not one and cost[i] + FALLBACK < cost[i + 1]:
+                cost[i + 1], last[i + 1], back[i + 1] = cost[i] + FALLBACK, -1, i
         out: list[int] = []
         j = n
         while j > 0:
             i = back[j]
-            if last[j] >= 0:
-                out.append(last[j])
-            else:
-                out.extend(self.pieces.byte_ids[b] for b in reversed(text[i:j].encode("utf-8", "replace")))
+            out.extend([last[j]] if last[j] >= 0 else [self.pieces.byte_ids[b] for b in reversed(text[i:j].encode("utf-8", "replace"))])
             j = i
         return out[::-1]
 
-    def encode_keys(self, keys: list[bytes]) -> list[np.ndarray]:
+    def part(self, text: str) -> bytes:
+        """Ids of a part that no piece crosses, as little-endian 32-bit integers; short parts are remembered."""
+        ids = self.parts.get(text)
+        if ids is None:
+            ids = np.array(self.path(text), "<u4").tobytes()
+            if len(text) < 64:
+                if len(self.parts) >= MEMORY:
+                    self.parts = {}
+                self.parts[text] = ids
+        return ids
+
+    def spell(self, text: str) -> bytes:
+        """Ids of a normalised text, from those of its parts."""
+        at, out, inside = 0, [], self.inside
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in inside:
+                out.append(self.part(text[at:i]))
+                at = i
+        out.append(self.part(text[at:]))
+        return b"".join(out)
+
+    def encode_keys(self, keys: list[bytes]) -> list[bytes]:
         """Ids of each pre-token key; remembers them."""
         if len(self.known) > MEMORY:
             self.known = {}
@@ -116,7 +170,7 @@ class Transducer:
         for k in keys:
             ids = known.get(k)
             if ids is None:
-                ids = np.array(self.path(spelled(k)), "<u4")
+                ids = self.spell(spelled(k))
                 if len(k) < 64:
                     known[k] = ids
             out.append(ids)
@@ -128,8 +182,8 @@ class Transducer:
         if not len(flat):
             return [np.zeros(0, "<u4")] * len(texts)
         parts = self.encode_keys(keys)
-        size = np.array([len(p) for p in parts])
-        pool, first = np.concatenate(parts), np.cumsum(size) - size
+        size = np.array([len(p) for p in parts]) // 4
+        pool, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
         ids, cum = pool[_spans(first[flat], size[flat])], np.append(0, np.cumsum(size[flat]))
         return [ids[cum[a] : cum[b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
