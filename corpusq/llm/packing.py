@@ -11,14 +11,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm.common import Words, ship
 from corpusq.llm.sp_fst import _spans
 
-#: White-space-separated chunks whose ids a worker remembers; a full memory starts anew.
-MEMORY = 300_000
+#: White-space-separated chunks, and their parts, whose ids a worker remembers; a full memory starts anew.
+MEMORY = 500_000
+PARTS = regex.compile(r"\p{L}+|\P{L}+")
+PLAIN = regex.compile(r"[\x21-\x26\x28-\x3b\x3d-\x7e\u00a1-\u024f]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The byte alphabet of byte-level BPE: bytes of visible characters stand for themselves, the others follow from 256 on.
+BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up, and neighbours that are tried for its window.
 TERMS, NEIGHBOURS = 24, 64
@@ -38,25 +44,59 @@ class Ids:
         self.by_chunk = one(probe) == [i for c in probe.encode().split() for i in one(c.decode())] and one(" a") == one("a")
         special = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized)]
         self.mark = next(((i, c) for i, c in special if one(f"a{c}b") == [*one("a"), i, *one("b")]), None)
-        self.row: dict[bytes, np.ndarray] = {}
+        probe = "Éa12.foo,Bar(bAz)!!x-y_z::9ß"
+        #: Whether runs of letters and what stands between them have ids of their own, in lower case.
+        self.by_part = one(probe) == [i for p in PARTS.findall(probe.lower()) for i in one(p)]
+        self.model = self.tok.model
+        words = ["a", "hello", "thhaning", "éèñß", "überkeit", "ō"]
+        #: Whether the model alone gives a run of letters the same ids, when its bytes are spelled in the byte alphabet.
+        self.by_model = all(self.word(w) == np.array(one(w), "<u4").tobytes() for w in words)
+        self.row: dict[bytes, bytes] = {}
+        self.part: dict[str, bytes] = {}
 
-    def chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-case run of letters, from the tokenizer's model without its other steps."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTES)
+        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+
+    def fresh(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, as little-endian 32-bit integers; most in one call, apart by a special token."""
+        made = {t: self.word(t) for t in texts if t.isalpha() and t == t.lower() and PLAIN.fullmatch(t)} if self.by_model else {}
+        plain = [t for t in texts if self.mark and "<" not in t and t not in made]
+        if plain:
+            i, mark = self.mark
+            ids = np.array(self.tok.encode_batch_fast([mark.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), np.append(np.nonzero(ids == i)[0], len(ids)) * 4
+            at = 0
+            for t, cut in zip(plain, cuts.tolist(), strict=True):
+                made[t] = raw[at:cut]
+                at = cut + 4
+        rest = [t for t in texts if t not in made]
+        for t, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            made[t] = np.array(e.ids, "<u4").tobytes()
+        return [made[t] for t in texts]
+
+    def chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk; remembers them."""
         new = [c for c in chunks if c not in self.row]
         if len(self.row) + len(new) > MEMORY:
             self.row, new = {}, chunks
-        plain = [c for c in new if self.mark and b"<" not in c]
-        made: dict[bytes, np.ndarray] = {}
-        if plain:  # many chunks in one call, apart by a special token
-            i, mark = self.mark
-            ids = np.array(self.tok.encode_batch_fast([mark.join(c.decode() for c in plain)], add_special_tokens=False)[0].ids, "<u4")
-            made.update(zip(plain, np.split(ids[ids != i], np.nonzero(ids == i)[0] - np.arange(len(plain) - 1)), strict=True))
-        rest = [c for c in new if c not in made]
-        for c, e in zip(rest, self.tok.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
-            made[c] = np.array(e.ids, "<u4")
-        if len(self.row) + len(made) <= MEMORY:
-            self.row |= made
-            made = self.row
-        return [made[c] for c in chunks]
+        if len(self.part) > MEMORY:
+            self.part = {}
+        split = [self._parts(c.decode()) for c in new]
+        unknown = list(dict.fromkeys(p for ps in split for p in ps if p not in self.part))
+        self.part.update(zip(unknown, self.fresh(unknown), strict=True))
+        get = self.part.__getitem__
+        self.row.update((c, b"".join(map(get, ps))) for c, ps in zip(new, split, strict=True))
+        return [self.row[c] for c in chunks]
+
+    def _parts(self, chunk: str) -> list[str]:
+        """The parts of a chunk with ids of their own; chunks of other scripts, apostrophes or special marks stay whole."""
+        low = chunk.lower()
+        if self.by_part and low.isascii() and low.isalpha():
+            return [low]
+        return PARTS.findall(low) if self.by_part and PLAIN.fullmatch(low) else [chunk]
 
     def texts(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if not self.by_chunk:
@@ -69,8 +109,8 @@ class Ids:
         if not flat:
             return [np.zeros(0, "<u4")] * len(texts)
         parts, flat = self.chunks(list(words)), np.array(flat, np.int64)
-        size = np.array([len(p) for p in parts])
-        pool, first = np.concatenate(parts), np.cumsum(size) - size
+        size = np.array([len(p) for p in parts]) // 4
+        pool, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
         ids, cum = pool[_spans(first[flat], size[flat])], np.append(0, np.cumsum(size[flat]))
         return [ids[cum[a] : cum[b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
