@@ -35,8 +35,8 @@ def title_candidates(articles: DataFrame, threshold: float = C.TITLE_JACCARD) ->
     prefix = each.join(df, "token").withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
     a, b = prefix.select("token", F.col("seq").alias("a"), F.col("n").alias("na")), prefix.select("token", F.col("seq").alias("b"), F.col("n").alias("nb"))
     near = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    empty = tokens.where(F.size("tokens") == 0).select("seq")
-    empties = empty.select(F.col("seq").alias("a")).join(empty.select(F.col("seq").alias("b")), F.col("a") < F.col("b"))
+    empty = tokens.where(F.size("tokens") == 0).select("seq", F.size("tokens").alias("none"))
+    empties = empty.select(F.col("seq").alias("a"), "none").join(empty.select(F.col("seq").alias("b"), "none"), "none").where(F.col("a") < F.col("b")).select("a", "b")
     ta, tb = tokens.select(F.col("seq").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("seq").alias("b"), F.col("tokens").alias("tb"))
     return near.union(empties).join(ta, "a").join(tb, "b").withColumn("title_similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("title_similarity") >= threshold).select("a", "b", "title_similarity")
 

@@ -90,7 +90,8 @@ def focus_sentences(sentences: DataFrame, body: DataFrame, primary: DataFrame) -
 
 def events(texts: Column) -> Column:
     """Event names, in their fixed order, with a pattern in any of the texts (title and focus sentences)."""
-    return F.array_compact(F.array(*[F.when(F.exists(texts, lambda t, p=p: any_match(t, p)), F.lit(e)) for e, p in C.EVENTS.items()]))
+    said = lambda patterns: F.exists(texts, lambda t: any_match(t, patterns))
+    return F.array_compact(F.array(*[F.when(said(p), F.lit(e)) for e, p in C.EVENTS.items()]))
 
 
 def tone_counts(sentences: Column) -> tuple[Column, Column]:

@@ -353,3 +353,99 @@ def answer_verification(spark, d):
     answers = turns.where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" [1]")).alias("text"))
     sources = turns.where("role = 'user'").select(F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("answer_id"), F.lit(1).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
     return grounding.verify(answers, sources).select("answer_id", "text", "cited_numbers", F.size("removed").alias("removed"))
+
+
+def _news(spark, d):
+    """Conversations as news: every user turn a headline with the answer as its body, with companies and boilerplate mixed in by rule."""
+    t = table(spark, d, "conversations")
+    q = t.where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("head"))
+    a = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("body"))
+    n = F.col("conv_id") % 5
+    lead = F.when(n == 0, "Intel (NASDAQ:INTC) shares rose 7-9% after a deal with Nvidia. ").when(n == 1, "Cerence Inc. (CRNC) beat estimates. Growth was strong, not weak. ").when(n == 2, "Apple will launch a new iPhone for $1.2 billion. ").otherwise("")
+    tail = F.when(n == 0, " Read More: Intel Is Up Today. Continue Reading").when(n == 1, " All rights reserved. Contact us at desk@example.com today.").otherwise("")
+    title = F.concat(F.when(n == 0, "Intel soars as Nvidia signs: ").when(n == 2, "Should You Buy Apple? ").otherwise(""), F.substring("head", 1, 60))
+    seq = (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")
+    return q.join(a, ["conv_id", "turn"]).select(seq, title.alias("title"), F.concat(F.lit("https://news.example/"), F.sha1("body")).alias("link"), F.lit("INTC").alias("ticker"), F.concat(lead, F.col("body"), tail).alias("text"))
+
+
+@query()
+def noise_cleaning(spark, d):
+    from corpusq.operators import cleaning
+
+    return cleaning.clean(_news(spark, d)).select("seq", "title", "text", F.array_join("signals.truncation_markers", ",").alias("markers"), F.array_join(F.array_sort(F.map_keys("signals.chars_removed_by_rule")), ",").alias("rules"))
+
+
+@query()
+def removal_statistics(spark, d):
+    from corpusq.operators import cleaning
+
+    return cleaning.removal_statistics(cleaning.clean(_news(spark, d)))
+
+
+@query()
+def created_numbers(spark, d):
+    from corpusq.operators import cleaning
+
+    raw = _news(spark, d)
+    both = cleaning.clean(raw).select("seq", F.col("text").alias("clean")).join(raw.select("seq", "text"), "seq")
+    return both.select("seq", evaluate.new_numbers(F.col("clean"), F.col("text")).alias("created")).where(F.size("created") > 0)
+
+
+@query()
+def article_chunks(spark, d):
+    from corpusq.operators import chunking
+
+    none = F.array().cast("array<string>")
+    a = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.coalesce("text", F.lit("")).alias("text"), none.alias("primary_tickers"), none.alias("mentioned_tickers"), F.lit(False).alias("is_stub"))
+    return chunking.chunk(a).select("article_id", "chunk_index", "chunk_id", F.length("text").alias("chars"))
+
+
+@query()
+def offline_build(spark, d):
+    from corpusq.plans import offline
+
+    return offline.build(_news(spark, d), checkpoint).select("id", "article_id", "chunk_index", "primary_tickers", "mentioned_tickers", "event_types", "sentiment", "article_type", "is_stub")
+
+
+@query()
+def online_answers(spark, d):
+    from corpusq.plans import offline, online
+
+    chunks = checkpoint(offline.build(_news(spark, d), checkpoint))
+    asked = spark.createDataFrame([(1, "Why did Intel stock jump?"), (2, "What is Apple's current market cap?"), (3, "What happened yesterday?"), (4, "Any news on IBM?"), (5, "Should I buy Nvidia?"), (6, "What do analysts say?")], "question_id int, question string")
+    return online.answer(asked, chunks)
+
+
+@query(r"""
+    WITH l AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations), x AS (SELECT conv_id || '-' || turn AS answer_id, unnest(range(len(ls))) AS i, unnest(ls) AS line, len(ls) AS n FROM l)
+    SELECT answer_id, CAST(i AS INTEGER) AS line_no, line FROM x WHERE line <> '' OR i < n - 1""")
+def answer_lines(spark, d):
+    from corpusq.streaming import lines
+
+    t = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), F.coalesce("text", F.lit("")).alias("text"))
+    deltas = t.select("answer_id", F.posexplode(F.split("text", "(?<= )")).alias("seq", "delta"))
+    return lines.batch_lines(deltas)
+
+
+@query("SELECT conv_id, turn, role AS event, coalesce(text, '') AS data FROM conversations WHERE coalesce(text, '') <> ''")
+def sse_round_trip(spark, d):
+    from corpusq.sources import feeds
+
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
+    frames = t.select("conv_id", "turn", F.explode(feeds.parse_sse(F.concat(F.lit(": hello\n"), feeds.sse(F.col("role"), F.struct("text"))))).alias("f"))
+    return frames.select("conv_id", "turn", F.col("f.event").alias("event"), F.get_json_object("f.data", "$.text").alias("data"))
+
+
+@query("SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_event_counts(spark, d):
+    from corpusq.streaming import lines
+
+    return lines.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+
+
+@query()
+def relevance_report(spark, d):
+    from corpusq.plans import offline
+    from corpusq.sources import feeds
+
+    return feeds.relevance_report(offline.enrich(checkpoint(offline.merge(checkpoint(offline.clean_and_flag(_news(spark, d))), checkpoint)), checkpoint))
