@@ -7,6 +7,7 @@ index over token ids returns the unused neighbours of a seed document, which fil
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,8 @@ from corpusq.llm.common import Words, ship
 from corpusq.llm.sp_fst import _spans
 
 #: White-space-separated chunks, and their parts, whose ids a worker remembers; a full memory starts anew.
-MEMORY = 500_000
+MEMORY = 700_000
 PARTS = regex.compile(r"\p{L}+|\P{L}+")
-PLAIN = regex.compile(r"[\x21-\x26\x28-\x3b\x3d-\x7e\u00a1-\u024f]+")
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The byte alphabet of byte-level BPE: bytes of visible characters stand for themselves, the others follow from 256 on.
 BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
@@ -58,12 +58,12 @@ class Ids:
         """Ids of a lower-case run of letters, from the tokenizer's model without its other steps."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTES)
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, as little-endian 32-bit integers; most in one call, apart by a special token."""
-        made = {t: self.word(t) for t in texts if t.isalpha() and t == t.lower() and PLAIN.fullmatch(t)} if self.by_model else {}
-        plain = [t for t in texts if self.mark and "<" not in t and t not in made]
+        made: dict[str, bytes] = {}
+        plain = [t for t in texts if self.mark and "<" not in t]
         if plain:
             i, mark = self.mark
             ids = np.array(self.tok.encode_batch_fast([mark.join(plain)], add_special_tokens=False)[0].ids, "<u4")
@@ -84,31 +84,36 @@ class Ids:
             self.row, new = {}, chunks
         if len(self.part) > MEMORY:
             self.part = {}
-        split = [self._parts(c.decode()) for c in new]
-        unknown = list(dict.fromkeys(p for ps in split for p in ps if p not in self.part))
-        self.part.update(zip(unknown, self.fresh(unknown), strict=True))
-        get = self.part.__getitem__
-        self.row.update((c, b"".join(map(get, ps))) for c, ps in zip(new, split, strict=True))
+        whole = []
+        for c in new:
+            # Other scripts (from U+0240 on, and one letter that grows in lower case), apostrophes and special marks: not by parts.
+            if not self.by_part or max(c) > 0xC8 or b"'" in c or b"<" in c or b"\xc4\xb0" in c:
+                whole.append(c)
+                continue
+            low = c.decode().lower()
+            if low.isalpha():
+                self.row[c] = self.part.get(low) or self._part(low)
+            else:
+                self.row[c] = b"".join([self.part.get(p) or self._part(p) for p in PARTS.findall(low)])
+        self.row.update(zip(whole, self.fresh([c.decode() for c in whole]), strict=True))
         return [self.row[c] for c in chunks]
 
-    def _parts(self, chunk: str) -> list[str]:
-        """The parts of a chunk with ids of their own; chunks of other scripts, apostrophes or special marks stay whole."""
-        low = chunk.lower()
-        if self.by_part and low.isascii() and low.isalpha():
-            return [low]
-        return PARTS.findall(low) if self.by_part and PLAIN.fullmatch(low) else [chunk]
+    def _part(self, part: str) -> bytes:
+        """Ids of a run of lower-case letters, or of what stands between two; remembers them."""
+        ids = self.part[part] = self.word(part) if self.by_model and part.isalpha() else self.fresh([part])[0]
+        return ids
 
     def texts(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)]
-        words, flat, ends = Words(), [], [0]
+        words, rows = Words(), []
         for t in texts:
-            if t:
-                flat.extend(map(words.__getitem__, t.split()))
-            ends.append(len(flat))
-        if not flat:
+            cut = t.split() if t else ()
+            rows.append(np.fromiter(map(words.__getitem__, cut), np.int32, len(cut)))
+        flat, ends = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+        if not len(flat):
             return [np.zeros(0, "<u4")] * len(texts)
-        parts, flat = self.chunks(list(words)), np.array(flat, np.int64)
+        parts = self.chunks(list(words))
         size = np.array([len(p) for p in parts]) // 4
         pool, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
         ids, cum = pool[_spans(first[flat], size[flat])], np.append(0, np.cumsum(size[flat]))
