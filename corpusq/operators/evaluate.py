@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as T
+from corpusq.operators.grounding import answer_sentences
 
 MIN_QUOTE = 20
 
@@ -106,7 +107,8 @@ def new_numbers(clean: Column, raw: Column) -> Column:
     return F.array_except(T.numbers(clean), T.numbers(raw))
 
 
-OWN_FORECAST = r"(?i)\b(?:I|we) (?:think|expect|believe|predict|recommend)\b|\b(?:will|is going to) (?:rise|fall|go up|go down|outperform|underperform)\b"
+#: Fixed value: wording of advice or a forecast in the answer's own voice.
+OWN_FORECAST = r"(?i)\b(I (think|believe|expect|predict)|you should (buy|sell)|I recommend|is a (good|great) buy)"
 
 
 def outcome_problems(expected: Column, text: Column, citations: Column, disclaimer: str) -> Column:
@@ -120,3 +122,59 @@ def outcome_problems(expected: Column, text: Column, citations: Column, disclaim
             F.when((expected == "disclaimer") & F.regexp_replace(text, T.quote(disclaimer), "").rlike(OWN_FORECAST), F.lit("forecasts")),
         )
     )
+
+
+def judged_sentences(answers: DataFrame, sources: DataFrame, fixed: list[str]) -> DataFrame:
+    """answer_id, sentence_id, sentence, cited, cited_texts, reason of an answer's sentences.
+
+    Fixed messages are taken out first. reason: ``skipped`` (a lead-in or uncited), ``unknown_citation`` (fails
+    without a call) or null (to be judged, with each cited source's text once).
+    """
+    text = F.col("text")
+    for m in fixed:
+        text = F.replace(text, F.lit(m), F.lit(""))
+    known = sources.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "text"))).alias("known"))
+    rows = answer_sentences(answers.withColumn("text", text)).where("sentence is not null").join(known, "answer_id", "left")
+    cited = F.array_distinct(T.citations(F.col("sentence")))
+    rows = rows.withColumn("cited", cited).withColumn("cited_texts", F.transform("cited", lambda n: F.try_element_at("known", n)))
+    unknown = F.exists("cited_texts", lambda t: t.isNull())
+    reason = F.when(T.is_lead_in(F.col("sentence")) | (F.size("cited") == 0), "skipped").when(F.coalesce(unknown, F.lit(True)), "unknown_citation")
+    return rows.select("answer_id", F.struct("line_no", "sentence_no").alias("sentence_id"), "sentence", "cited", "cited_texts", reason.alias("reason"))
+
+
+def integrity_problems(answers: DataFrame, citations: DataFrame, passages: DataFrame, links: DataFrame) -> DataFrame:
+    """answer_id, problem: no citations, links outside the corpus, marks that are no listed citation, figures outside the cited passages.
+
+    answers: answer_id, text; citations: answer_id, number, chunk_id, link; passages: chunk_id, text; links: link.
+    """
+    none = answers.join(citations, "answer_id", "left_anti").select("answer_id", F.lit("no citations").alias("problem"))
+    lost = citations.join(links, "link", "left_anti").select("answer_id", F.concat(F.lit("unknown link "), F.col("link")).alias("problem"))
+    marks = answers.select("answer_id", F.explode(F.array_distinct(T.citations(F.col("text")))).alias("number"))
+    stray = marks.join(citations, ["answer_id", "number"], "left_anti").select("answer_id", F.concat(F.lit("unknown mark "), F.col("number").cast("string")).alias("problem"))
+    have = citations.join(passages.select("chunk_id", T.quantities(F.col("text")).alias("q")), "chunk_id").select("answer_id", F.explode("q").alias("f")).distinct()
+    said = answers.select("answer_id", F.explode(T.quantities(F.col("text"))).alias("f"))
+    made = said.join(have, ["answer_id", "f"], "left_anti").select("answer_id", F.concat(F.lit("unsupported figure "), F.col("f.value").cast("string"), F.when(F.col("f.is_percent"), "%").otherwise("")).alias("problem"))
+    return none.unionByName(lost).unionByName(stray).unionByName(made)
+
+
+def stated_valuations(answers: DataFrame, terms: list[str]) -> DataFrame:
+    """Sentences that name a valuation term and hold a figure."""
+    named = F.lit(False)
+    for t in terms:
+        named = named | F.contains(F.lower("sentence"), F.lit(t.lower()))
+    return answer_sentences(answers).where("sentence is not null").where(named & (F.size(T.quantities(F.col("sentence"))) > 0)).select("answer_id", "sentence")
+
+
+def exchange_tags(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(\([A-Z]+\s*:\s*[A-Z.]+\))"), F.lit(1))
+
+
+def lost_tags(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Exchange tags (id, tag) that cleaning took away, as a difference of multisets; tables: id, text."""
+    rows = lambda t: t.select("id", F.explode(exchange_tags(F.col("text"))).alias("tag"))
+    return rows(before).exceptAll(rows(after))
+
+
+def write_run(results: DataFrame, path: str) -> None:
+    """Checks and pass flags of an evaluation run, as JSON."""
+    results.write.json(path)

@@ -130,7 +130,7 @@ def company_first(primary: DataFrame, wider: DataFrame, k: int) -> DataFrame:
 
 
 def render_sources(sources: DataFrame) -> DataFrame:
-    """A label and a block of text per numbered source: number, title, text, is_stub, passing."""
+    """A block per numbered source (number, text, is_stub, passing): ``[n]``, its warnings, then the text."""
     notes = F.concat_ws("; ", F.when(F.col("is_stub"), "PARTIAL"), F.when(F.col("passing"), "mentions the company only in passing"))
-    label = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("title"), F.when(notes != "", F.concat(F.lit(" ("), notes, F.lit(")"))).otherwise(F.lit("")))
+    label = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]"), F.when(notes != "", F.concat(F.lit(" ("), notes, F.lit(")"))).otherwise(F.lit("")))
     return sources.withColumn("block", F.concat_ws("\n", label, F.col("text")))

@@ -317,6 +317,21 @@ def test_expectations_and_transforms(spark):
     assert one(spark, evaluate.outcome_problems(F.lit("disclaimer"), F.col("t"), F.array(F.lit(1)), C.NOT_ADVICE), t="It rose. " + C.NOT_ADVICE) == []
 
 
+def test_judging_and_integrity(spark, tmp_path):
+    a = spark.createDataFrame([(1, "They say:\nUp 5% [1]. Odd 7 [9]. Plain. " + C.NOT_ADVICE)], "answer_id int, text string")
+    src = spark.createDataFrame([(1, 1, "rose 5%")], "answer_id int, number int, text string")
+    got = {r.sentence: (r.reason, r.cited_texts) for r in evaluate.judged_sentences(a, src, C.FIXED_MESSAGES).collect()}
+    assert got == {"They say:": ("skipped", []), "Up 5% [1].": (None, ["rose 5%"]), "Odd 7 [9].": ("unknown_citation", [None]), "Plain.": ("skipped", [])}
+    cites = spark.createDataFrame([(1, 1, "c", "gone")], "answer_id int, number int, chunk_id string, link string")
+    bad = evaluate.integrity_problems(a, cites, spark.createDataFrame([("c", "rose 5%")], "chunk_id string, text string"), spark.createDataFrame([("l",)], "link string"))
+    assert sorted(r.problem for r in bad.collect()) == ["unknown link gone", "unknown mark 9", "unsupported figure 7.000000000000"]
+    assert [r.sentence for r in evaluate.stated_valuations(spark.createDataFrame([(1, "Its market cap is $3T. It rose.")], "answer_id int, text string"), ["market cap"]).collect()] == ["Its market cap is $3T."]
+    b = spark.createDataFrame([(1, "(NYSE: X) (NYSE: X)")], "id int, text string")
+    assert [r.tag for r in evaluate.lost_tags(b, spark.createDataFrame([(1, "(NYSE: X)")], "id int, text string")).collect()] == ["(NYSE: X)"]
+    evaluate.write_run(bad, f"{tmp_path}/run")
+    assert spark.read.json(f"{tmp_path}/run").count() == 3
+
+
 def test_feed_and_frames(spark, tmp_path):
     feed = {"INTC": [{"title": "a", "link": "l", "full_text": "t"}, {"title": "b", "link": "l", "ticker": "X", "full_text": "u"}], "IBM": [{"title": "a", "link": "l", "full_text": "t"}]}
     (tmp_path / "f.json").write_text(json.dumps(feed, indent=1))
