@@ -449,3 +449,50 @@ def relevance_report(spark, d):
     from corpusq.sources import feeds
 
     return feeds.relevance_report(offline.enrich(checkpoint(offline.merge(checkpoint(offline.clean_and_flag(_news(spark, d))), checkpoint)), checkpoint))
+
+
+@query(r"""
+    WITH a AS (SELECT conv_id || '-' || turn AS id, regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{9,}') AS w FROM conversations), b AS (SELECT id, unnest(w) AS tag FROM a),
+         c AS (SELECT id, tag, count(*) AS n FROM b GROUP BY 1, 2) SELECT id, tag, n FROM c WHERE n > 1""")
+def repeated_long_words(spark, d):
+    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-zÀ-ÿ]{9,})"), F.lit(1))
+    rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.explode(w).alias("tag"))
+    return rows.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("SELECT count(DISTINCT source || '-' || (doc_id % 400)) AS total_articles FROM documents")
+def total_articles(spark, d):
+    return COV.total_articles(_chunks(spark, d))
+
+
+@query("""
+    WITH d AS (SELECT user_id % 40 AS a, CAST(event_id AS INTEGER) AS p, event_type AS t FROM events), s AS (SELECT a, CAST(range AS INTEGER) AS s, CAST(range + 300 AS INTEGER) AS e FROM (SELECT DISTINCT a FROM d), range(0, 100000, 300)),
+         m AS (SELECT d.a, d.t, d.p, s.s FROM d JOIN s ON d.a = s.a AND d.p >= s.s AND d.p < s.e), y AS (SELECT a, s FROM m GROUP BY 1, 2 HAVING count(DISTINCT t) >= 3),
+         z AS (SELECT m.a, m.t, bool_and((m.a, m.s) IN (SELECT a, s FROM y)) AS o FROM m GROUP BY 1, 2)
+    SELECT a AS article_id, t AS ticker FROM z WHERE o AND (a, t) NOT IN (SELECT a, t FROM d WHERE p < 50)""")
+def enumeration_range_join(spark, d):
+    body = table(spark, d, "events").where("event_id < 100000").select((F.col("user_id") % 40).alias("article_id"), F.col("event_type").alias("ticker"), F.col("event_id").cast("int").alias("start"))
+    s = body.select("article_id").distinct().select("article_id", F.explode(F.sequence(F.lit(0), F.lit(99_900), F.lit(300))).alias("start")).withColumn("end", F.col("start") + 300)
+    return relevance.enumeration_only(body, s, body.where("start < 50"), 3)
+
+
+@query("""
+    SELECT doc_id, CASE WHEN tt THEN 'incidental' WHEN s >= CASE k WHEN 'listicle' THEN 0.8 WHEN 'market_wrap' THEN 0.7 ELSE 0.5 END THEN 'primary' WHEN k = 'press_release' THEN 'incidental' ELSE 'mentioned' END AS tier
+    FROM (SELECT doc_id, doc_id % 11 = 0 AS tt, (n_chars % 100) / 100.0 AS s, ['listicle', 'market_wrap', 'press_release', 'news'][1 + doc_id % 4] AS k FROM documents)""")
+def tiering(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("listicle", "market_wrap", "press_release", "news"))), (1 + F.col("doc_id") % 4).cast("int"))
+    return table(spark, d, "documents").select("doc_id", relevance.tier(F.col("doc_id") % 11 == 0, (F.col("n_chars") % 100) / 100, kind).alias("tier"))
+
+
+@query("""
+    WITH r AS (SELECT source AS a, lang AS t, round(avg(n_chars) / 5000, 3) AS s, CASE WHEN count(*) % 2 = 0 THEN 'primary' ELSE 'mentioned' END AS k FROM documents GROUP BY 1, 2)
+    SELECT a AS article_id, coalesce(string_agg(t, ',' ORDER BY s DESC, t) FILTER (k = 'primary'), '') AS primary_tickers, coalesce(string_agg(t, ',' ORDER BY s DESC, t) FILTER (k = 'mentioned'), '') AS mentioned_tickers FROM r GROUP BY 1""")
+def ordered_tickers(spark, d):
+    r = table(spark, d, "documents").groupBy(F.col("source").alias("article_id"), F.col("lang").alias("ticker")).agg(F.round(F.avg("n_chars") / 5000, 3).alias("score"), F.when(F.count(F.lit(1)) % 2 == 0, "primary").otherwise("mentioned").alias("tier"))
+    return relevance.ordered_tickers(r).select("article_id", F.array_join("primary_tickers", ",").alias("primary_tickers"), F.array_join("mentioned_tickers", ",").alias("mentioned_tickers"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN q = '' THEN 'blank' WHEN length(q) > 500 THEN 'too_long' END AS problem, q AS question FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') AS q FROM conversations)")
+def request_validation(spark, d):
+    q, problem = questions.validate(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", problem.alias("problem"), q.alias("question"))
