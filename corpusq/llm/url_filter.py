@@ -17,8 +17,8 @@ from corpusq.llm.common import ship
 # Words of the labelled URL table.
 SPAM_WORDS = "casino win bets bet poker slots jackpot pills pharma viagra cheap loan payday spam farm adult porn xxx sex dating ads track click tracker popup banner free crack warez keygen torrent replica".split()
 PLAIN_WORDS = "news blog docs forum wiki library museum school garden recipes travel weather music history science city council review journal archive story notes research health sport report market learn photos guide".split()
-SPAM_PATHS = ("/win", "/free", "/offer", "/en/1", "/go?id=7", "/promo/de/4", "/click/fr/9", "")
-PLAIN_PATHS = ("/en/12", "/de/345", "/fr/6789.html", "/es/21/", "/about", "/2020/05/story", "/wiki/page", "")
+PAGE_PATHS = ("/en/12", "/de/345", "/fr/6789.html", "/es/21/", "/en/7/", "/de/8.html", "")
+SPAM_PATHS, PLAIN_PATHS = (*PAGE_PATHS, "/win/free/offer"), (*PAGE_PATHS, "/2020/05/story")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
