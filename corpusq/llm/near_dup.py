@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.llm.common import Words, checkpoint, mix64, ship
@@ -25,6 +25,8 @@ from corpusq.llm.common import Words, checkpoint, mix64, ship
 SHINGLE, SIZE, ROWS = 5, 128, 4
 #: 32 bands of 4: a pair of similarity 0.8 meets in no band with a probability of (1 - 0.8^4)^32 < 5e-8.
 BANDS = SIZE // ROWS
+#: Leaders of a bucket that are ranked at a time, and rounds in a row without a link that end the search.
+LEADERS, QUIET = 8, 2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,40 +197,52 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     theirs and links are verified on the greatest text. An empty table gives an empty result; further columns
     are ignored.
 
-    No pairs within a bucket are listed. In each round every band bucket that still holds several classes names
-    its most central member (the one with the most bucket mates) as leader; the leader meets the members of
-    other classes, and verified links merge classes. The next round has other leaders. Rounds end when one finds
-    no link, or no bucket holds two classes. The work of a round is linear in the members of open buckets.
-    Aggregations combine on the map side, and the other side of each join has one row per key, so Spark can
-    split a hot bucket or a hot leader.
+    No pairs within a bucket are listed. The members of a band bucket have an order, the most central first (the
+    ones with the most bucket mates). In round r the r-th member of every bucket is its leader, and meets the later
+    members that are of another class so far; verified links merge classes. Rounds end when QUIET of them in a row
+    find no link, or nobody is left to meet. The work of a round is linear in the members of buckets. So a link is
+    lost only if its texts never share a band, or if neither of them is among the first leaders of a shared bucket
+    and nothing else connects their classes; the README has measured figures.
+    Aggregations combine on the map side, leaders come from a ranking limited on the map side, and the other side
+    of each join has one row per key, so Spark can split a hot bucket or a hot leader.
     """
     ship(docs.sparkSession)
     signed = checkpoint(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     worded = signed.where("n > 0")
     reps = checkpoint(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     bands = reps.select("rep", F.explode(F.array_distinct("bands")).alias("key"))
-    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = checkpoint(bands.join(sizes, "key"))
-    central = met.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("mates"))
+    print_ = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"p{i}") for i in range(2)]
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *print_).where("size > 1")
+    # Buckets of the very same members (128 bits of their set) say the same: one of them stays, with their number.
+    once = sizes.groupBy("size", "p0", "p1").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "size", "times")
+    met = checkpoint(bands.join(once, "key"))
+    central = met.groupBy("rep").agg(F.sum((F.col("size") - 1) * F.col("times")).alias("mates"))
     members = checkpoint(met.select("key", "rep").join(central, "rep"))
     wanted = central.select("rep")
     texts = checkpoint(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep").groupBy("rep").agg(F.max("text").alias("text")))
     labels = wanted.select("rep", F.col("rep").alias("label"))
-    while True:
-        here = members.join(labels, "rep")
-        leaders = here.groupBy("key").agg(F.max_by(F.struct("rep", "label"), F.struct("mates", -F.col("rep"))).alias("leader"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.col("leader.rep").alias("leader"), F.col("leader.label").alias("leader_label"))
-        open_ = checkpoint(here.join(leaders, "key").where("rep <> leader"))
-        pairs = open_.where("label <> leader_label").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.first("leader_label").alias("la"), F.first("label").alias("lb"))
-        pairs = checkpoint(pairs)
-        if pairs.isEmpty():
-            break
-        links = verify(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"])
-        edges = checkpoint(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        if edges.isEmpty():
-            break
-        roots = components(edges)
-        labels = checkpoint(labels.join(roots, labels["label"] == roots["id"], "left").select("rep", F.coalesce("root", "label").alias("label")))
-        members = open_.select("rep", "key", "mates")
+    order = Window.partitionBy("key").orderBy(F.desc("mates"), "rep")
+    tail, quiet, done = members, 0, False
+    while not done:
+        leaders = checkpoint(tail.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= LEADERS).select("key", "turn", F.col("rep").alias("leader"), F.col("mates").alias("leader_mates")))
+        later = (F.col("mates") < F.col("leader_mates")) | ((F.col("mates") == F.col("leader_mates")) & (F.col("rep") > F.col("leader")))
+        for turn in range(1, LEADERS + 1):
+            led = leaders.where(F.col("turn") == turn).join(labels.select(F.col("rep").alias("leader"), F.col("label").alias("leader_label")), "leader")
+            met_now = members.join(labels, "rep").join(led, "key").where(later & (F.col("label") != F.col("leader_label")))
+            pairs = checkpoint(met_now.groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.first("leader_label").alias("la"), F.first("label").alias("lb")))
+            done = pairs.isEmpty() and leaders.where(F.col("turn") > turn).isEmpty()
+            links = verify(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"])
+            edges = checkpoint(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+            quiet = quiet + 1 if edges.isEmpty() else 0
+            if quiet == 0:
+                roots = components(edges)
+                labels = checkpoint(labels.join(roots, labels["label"] == roots["id"], "left").select("rep", F.coalesce("root", "label").alias("label")))
+            done = done or quiet >= QUIET
+            if done:
+                break
+        else:  # links still turn up: the next leaders, those after the last one
+            last = leaders.where(F.col("turn") == LEADERS).drop("turn")
+            tail = members.join(last, "key").where(later).select("rep", "key", "mates")
     named = reps.select("k1", "k2", "rep").join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class"))
     ids = signed.select("doc_id", "n", "k1", "k2").distinct()
     found = ids.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", "class").union(ids.where("n = 0").select("doc_id", F.col("doc_id").alias("class")))
