@@ -6,6 +6,7 @@ index over token ids returns the unused neighbours of a seed document, which fil
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 from corpusq.llm.common import Words, ship
 from corpusq.llm.sp_fst import _spans
 
-#: White-space-separated chunks, and their parts, whose ids a worker remembers; a full memory starts anew.
-MEMORY = 700_000
+#: Parts of white-space-separated chunks whose ids a worker remembers (about 200 bytes each); a full memory starts anew.
+MEMORY = 500_000
 PARTS = regex.compile(r"\p{L}+|\P{L}+")
+#: What keeps a chunk whole: apostrophes, special marks, other scripts (from U+0240 on) and a letter that grows in lower case.
+ODD = re.compile(rb"['<\xc9-\xff]|\xc4\xb0")
+MARKS = b".,;:!?"
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The byte alphabet of byte-level BPE: bytes of visible characters stand for themselves, the others follow from 256 on.
 BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
@@ -51,8 +55,7 @@ class Ids:
         words = ["a", "hello", "thhaning", "éèñß", "überkeit", "ō"]
         #: Whether the model alone gives a run of letters the same ids, when its bytes are spelled in the byte alphabet.
         self.by_model = all(self.word(w) == np.array(one(w), "<u4").tobytes() for w in words)
-        self.row: dict[bytes, bytes] = {}
-        self.part: dict[str, bytes] = {}
+        self.part: dict[bytes, bytes] = {}
 
     def word(self, word: str) -> bytes:
         """Ids of a lower-case run of letters, from the tokenizer's model without its other steps."""
@@ -78,29 +81,38 @@ class Ids:
         return [made[t] for t in texts]
 
     def chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each chunk; remembers them."""
-        new = [c for c in chunks if c not in self.row]
-        if len(self.row) + len(new) > MEMORY:
-            self.row, new = {}, chunks
+        """Ids of each chunk, from those of its parts."""
         if len(self.part) > MEMORY:
             self.part = {}
-        whole = []
-        for c in new:
-            # Other scripts (from U+0240 on, and one letter that grows in lower case), apostrophes and special marks: not by parts.
-            if not self.by_part or max(c) > 0xC8 or b"'" in c or b"<" in c or b"\xc4\xb0" in c:
-                whole.append(c)
-                continue
-            low = c.decode().lower()
-            if low.isalpha():
-                self.row[c] = self.part.get(low) or self._part(low)
-            else:
-                self.row[c] = b"".join([self.part.get(p) or self._part(p) for p in PARTS.findall(low)])
-        self.row.update(zip(whole, self.fresh([c.decode() for c in whole]), strict=True))
-        return [self.row[c] for c in chunks]
-
-    def _part(self, part: str) -> bytes:
+        part, other, out, whole = self.part, self._part, [], []
+        for c in chunks:
+            ids = b""
+            if self.by_part:
+                core = c.rstrip(MARKS)
+                if core.isalpha():  # ASCII letters, perhaps with marks behind
+                    low = core.lower()
+                elif core and not ODD.search(core) and (text := core.decode()).isalpha():
+                    low = text.lower().encode()
+                elif not ODD.search(c):
+                    out.append(b"".join([part.get(k := p.encode()) or other(k) for p in PARTS.findall(c.decode().lower())]))
+                    continue
+                else:
+                    low = b""
+                if low:
+                    ids = part.get(low) or other(low)
+                    if len(core) < len(c):
+                        ids += part.get(tail := c[len(core) :]) or other(tail)
+            if not ids:
+                whole.append(len(out))
+            out.append(ids)
+        for at, ids in zip(whole, self.fresh([chunks[i].decode() for i in whole]), strict=True):
+            out[at] = ids
+        return out
+
+    def _part(self, part: bytes) -> bytes:
         """Ids of a run of lower-case letters, or of what stands between two; remembers them."""
-        ids = self.part[part] = self.word(part) if self.by_model and part.isalpha() else self.fresh([part])[0]
+        text = part.decode()
+        ids = self.part[part] = self.word(text) if self.by_model and text.isalpha() else self.fresh([text])[0]
         return ids
 
     def texts(self, texts: list[bytes | None]) -> list[np.ndarray]:
@@ -133,26 +145,30 @@ class Index:
     """BM25 postings of one shard's documents, term by term."""
 
     def __init__(self, docs: list[np.ndarray]):
-        per = [np.unique(d, return_counts=True) for d in docs]
-        n = len(docs)
-        owner = np.repeat(np.arange(n), [len(t) for t, _ in per])
-        term, tf = np.concatenate([t for t, _ in per]).astype(np.int64), np.concatenate([c for _, c in per]).astype(float)
-        kinds, inv, df = np.unique(term, return_inverse=True, return_counts=True)
+        n, length = len(docs), np.array([len(d) for d in docs], np.int64)
+        both = np.sort((np.repeat(np.arange(n), length) << 32) + np.concatenate(docs).astype(np.int64))
+        first = np.nonzero(np.append(True, both[1:] != both[:-1]))[0]
+        tf = np.diff(np.append(first, len(both))).astype(float)
+        self.owner, term = both[first] >> 32, both[first] & 0xFFFFFFFF
+        kinds, inv, df = np.unique(term.astype(np.uint16) if term.max(initial=0) < 1 << 16 else term, return_inverse=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = np.array([len(d) for d in docs], float)
-        w = idf[inv] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
-        order = np.argsort(inv, kind="stable")
-        self.n, self.doc, self.w = n, owner[order], w[order]
+        w = idf[inv] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.owner] / length.mean()))
+        order = np.argsort(inv.astype(np.uint16) if len(kinds) < 1 << 16 else inv, kind="stable")
+        self.n, self.doc, self.w = n, self.owner[order], w[order]
         self.first, self.df = np.cumsum(df) - df, df
-        # The best terms of each document that another document has too.
-        use = np.where(df[inv] > 1, w, 0)
-        best = np.lexsort((inv, -use, owner))
-        start = np.append(0, np.cumsum([len(t) for t, _ in per]))
-        self.terms = [inv[b[use[b] > 0]] for b in (best[a : min(a + TERMS, z)] for a, z in zip(start[:-1], start[1:], strict=True))]
+        # Terms of each document, with no use for those that no other document has.
+        self.term, self.use = inv, np.where(df[inv] > 1, w, 0)
+        self.start = np.searchsorted(self.owner, np.arange(n + 1))
+
+    def best_terms(self, doc: int) -> np.ndarray:
+        """The document's terms of the largest weights, ties by term."""
+        a, z = self.start[doc], self.start[doc + 1]
+        best = np.lexsort((self.term[a:z], -self.use[a:z]))[:TERMS] + a
+        return self.term[best[self.use[best] > 0]]
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents by falling score, ties by position; those without a shared term do not appear."""
-        t = self.terms[seed]
+        t = self.best_terms(seed)
         if not len(t):
             return t
         at = _spans(self.first[t], self.df[t])
