@@ -17,8 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch at most: texts can be long, and a worker holds a batch or two.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once per application."""
+    """Make this package importable on every executor, once per application, and keep Arrow batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
