@@ -36,9 +36,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: that of the smallest id."""
+    """One document of each near-duplicate class stays: that of the smallest id. Rows without an id stay too."""
     classes = near_dup.near_classes(docs, least=0.8)
-    return docs.join(classes.where("kept").select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    kept = docs.join(classes.where("kept").select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -305,12 +305,12 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
 
     good = [(i, _prose(i, EN if i % 2 else DE, 80), "en" if i % 2 else "de", "s") for i in range(120)]
     bad = [(200 + i, _prose(i, [w.upper() + "!!" for w in EN], 80), "en", "s") for i in range(40)]
-    more = [(300, good[3][1], "en", "s"), (301, good[5][1] + " added", "en", "s"), (302, "123 456", "en", "s")]
+    more = [(None, _prose(1077, EN, 80), "en", "s"), (300, good[3][1], "en", "s"), (301, good[5][1] + " added", "en", "s"), (302, "123 456", "en", "s")]
     docs = spark.createDataFrame([(*r, len(r[1])) for r in good + bad + more], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(r[0], 1, 0) for r in good] + [(r[0], 0, 0) for r in bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "quality", "exact_dedup", "near_dedup", "packing"]
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    # 3 has an exact copy of a larger id, 301 is a near copy, 302 has no letters.
-    assert kept == (set(range(120)) - {3}) | {300}
+    # 3 has an exact copy of a larger id, 301 is a near copy, 302 has no letters; a row without an id stays.
+    assert kept == (set(range(120)) - {3}) | {300, None}
