@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusq import config as C
 from corpusq.functions import sentences as S
+from corpusq.functions.partitions import spread
 from corpusq.functions.text import chunk_id
 from corpusq.operators.mentions import display_name
 
@@ -56,7 +57,7 @@ def chunk(articles: DataFrame, max_tokens: int = C.CHUNK_TOKENS, overlap: int =
 
     Articles: article_id, title, text, primary_tickers, mentioned_tickers, is_stub.
     """
-    head = articles.select("article_id", header(F.col("title"), F.col("primary_tickers"), F.col("mentioned_tickers"), F.col("is_stub")).alias("header"), "text")
+    head = spread(articles).select("article_id", header(F.col("title"), F.col("primary_tickers"), F.col("mentioned_tickers"), F.col("is_stub")).alias("header"), "text")
 
     @F.pandas_udf("array<string>")
     def cut(headers: pd.Series, texts: pd.Series) -> pd.Series:
