@@ -14,5 +14,5 @@ def spread(df: DataFrame) -> DataFrame:
     The size is the planner's estimate; nothing runs. So only inputs of a few megabytes a core are shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= cores * SMALL else df
