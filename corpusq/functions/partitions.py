@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 #: Estimated bytes per core up to which an input counts as small.
-SMALL = 8 << 20
+SMALL = 2 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
