@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.functions.partitions import spread
 from corpusq.llm.common import Words, fold, mix64, ship
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -276,7 +277,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     ship(docs.sparkSession)
     m = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).cast("binary").alias("__text"), *([F.col(id_col).alias("doc_id")] if carry is None else carry))
+    rows = spread(docs.select(F.col(text_col).cast("binary").alias("__text"), *([F.col(id_col).alias("doc_id")] if carry is None else carry)))
     names, pre = rows.columns[1:], "" if carry is None else "__"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusq.functions.partitions import spread
 from corpusq.llm.common import Words, checkpoint, mix64, ship
 
 SHINGLE, SIZE, ROWS = 5, 128, 4
@@ -138,7 +139,7 @@ def overlap(a: Counter, b: Counter) -> float:
 
 def sign(docs: DataFrame, id_col: str, text_col: str, group: int = 500) -> DataFrame:
     """doc_id, k1, k2 (128 bits of the word sequence), n (words), bands (array of long) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.functions.partitions import spread
 from corpusq.llm.common import Words, ship
 from corpusq.llm.sp_fst import _spans
 
@@ -275,7 +276,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int |
     spark = docs.sparkSession
     ship(spark)
     shards = max(1, -(-docs.count() // shard_docs))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(shards)).alias("shard"), F.col(text_col).cast("binary").alias("text"))
+    rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(shards)).alias("shard"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.functions.partitions import spread
 from corpusq.llm.common import ship
 from corpusq.llm.pieces import SPACE, Pieces, batch_keys, load, spelled
 
@@ -233,7 +234,7 @@ def encode_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 def _run(docs, model_path, id_col, text_col, group, columns, make, with_texts=False) -> DataFrame:
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.functions.partitions import spread
 from corpusq.llm.common import ship
 from corpusq.llm.pieces import Pieces, batch_keys, load, spelled
 
@@ -144,7 +145,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     tokenizer files. A worker handles ``group`` texts at once.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
