@@ -11,6 +11,7 @@ and processes stop as soon as they pass the latest component.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from corpusq.llm.common import Words, checkpoint, mix64, ship
 SHINGLE, SIZE, ROWS = 5, 128, 4
 #: 32 bands of 4: a pair of similarity 0.8 meets in no band with a probability of (1 - 0.8^4)^32 < 5e-8.
 BANDS = SIZE // ROWS
-#: Leaders of a bucket that are ranked at a time, and rounds in a row without a link that end the search.
+#: Leaders of a bucket that are ranked at a time, and rounds in a row without a link after which the rest is met at once.
 LEADERS, QUIET = 8, 2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,6 +175,38 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def unmet_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different labels among texts (rep, label, text), none of an overlap of at least ``least`` missing.
+
+    The copies of a shingle are numbered, so multisets become sets, and a set's items are ordered from rare to
+    frequent. Two sets that overlap enough share an item among the first n - ceil(least * n) + 1 of both, and the
+    places of the first one they share leave room for the overlap (prefix and positional filter).
+    """
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, item, count, _ = multisets(batch.column(2).to_pylist())
+            each = np.repeat(np.arange(len(item)), count)
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            item = np.where(nth > 0, mix64(item[each] + nth.astype(np.uint64) * GOLD), item[each])
+            n = np.bincount(owner, count, batch.num_rows).astype(np.int64)
+            at = pa.array(owner[each])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(n).take(at), pa.array(item.view(np.int64))], ["rep", "label", "n", "item"])
+
+    items = texts.select("rep", "label", "text").mapInArrow(run, f"rep {kind}, label {kind}, n long, item long")
+    shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Items that no other text has come first in the order: only their number counts.
+    known = items.join(shared, "item")
+    order = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("item"))
+    back = F.row_number().over(order)  # items from this one to the end of the order
+    prefix = checkpoint(known.withColumn("back", back).where(F.col("back") >= F.ceil(F.lit(least) * F.col("n") - 1e-9)).select("item", "rep", "label", "n", "back"))
+    a, b = (prefix.select("item", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "label", "n", "back")]) for x in "ab")
+    need = F.lit(least / (1 + least)) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    near = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_label") != F.col("b_label")) & (F.least("a_back", "b_back") >= need)
+    return a.join(b, "item").where(near).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), F.col("a_label").alias("la"), F.col("b_label").alias("lb")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, root (the smallest id reachable) of every node of the edges (a, b); each step shortens paths twofold."""
     both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -244,6 +277,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:  # links still turn up: the next leaders, those after the last one
             last = leaders.where(F.col("turn") == LEADERS).drop("turn")
             tail = members.join(last, "key").where(later).select("rep", "key", "mates")
+    # Let Spark's cleaner free the disk of the rounds that are over: it acts on what the JVM has collected.
+    del pairs, links, edges, met_now, led, tail
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    # Who ranks behind the last leader of a bucket has not met the others there.
+    unmet = members.join(leaders.where(F.col("turn") == turn), "key").where(later).select("key", "rep").join(labels, "rep")
+    mixed = unmet.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    waiting = checkpoint(unmet.join(mixed, "key").select("rep", "label").distinct())
+    if not waiting.isEmpty():
+        pairs = checkpoint(unmet_pairs(waiting.join(texts, "rep"), least))
+        edges = checkpoint(verify(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        if not edges.isEmpty():
+            roots = components(edges)
+            labels = checkpoint(labels.join(roots, labels["label"] == roots["id"], "left").select("rep", F.coalesce("root", "label").alias("label")))
     named = reps.select("k1", "k2", "rep").join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class"))
     ids = signed.select("doc_id", "n", "k1", "k2").distinct()
     found = ids.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", "class").union(ids.where("n = 0").select("doc_id", F.col("doc_id").alias("class")))

@@ -300,6 +300,25 @@ def test_near_classes_equal_brute_force(spark, empty):
     assert near_dup.near_classes(empty).count() == 0
 
 
+def test_near_classes_meet_all_of_a_hot_bucket(spark):
+    """Variants of one text, most of them not alike enough: links lie behind rounds of leaders that find none."""
+    r = random.Random(0)
+    texts = []
+    for k in range(60):
+        at = set(r.sample(range(5, 195), 3))
+        texts.append(" ".join(f"x{k}.{i}" if i in at else f"w{i}" for i in range(200)))
+    sets = [near_dup.shingles(t) for t in texts]
+    links = {(i, j) for j in range(60) for i in range(j) if near_dup.overlap(sets[i], sets[j]) >= 0.8}
+    want = list(range(60))
+    for i, j in sorted(links) * 60:
+        want[i] = want[j] = min(want[i], want[j])
+    got = {x.doc_id: x.class_id for x in near_dup.near_classes(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+    rows = spark.createDataFrame(list(zip(range(60), range(60), texts, strict=True)), "rep long, label long, text string")
+    pairs = {(x.a, x.b) for x in near_dup.unmet_pairs(rows, 0.8).collect()}
+    assert links <= pairs
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
