@@ -81,20 +81,23 @@ def top_k(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def as_batch(queries: DataFrame, max_queries: int) -> DataFrame:
+    """The queries, broadcast if they are ``max_queries`` at most; beyond that Spark pairs partitions with partitions."""
+    return queries if queries.limit(max_queries + 1).count() > max_queries else F.broadcast(queries)
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, keep: Column | None = None, max_queries: int = 1000) -> DataFrame:
     """query_id, id, score (cosine, 6 digits), rank. ``queries``: query_id, query_vec; at most ``max_queries`` rows are broadcast.
 
-    More queries than that are refused: split the batch. Filters apply below the ranking.
+    More queries than that meet the vectors partition by partition. Filters apply below the ranking.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} dense queries at once; split the batch")
     pool = vectors.where(keep) if keep is not None else vectors
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
     pool = pool.select(F.col(id_col).alias("id"), as_double(F.col(vec_col)).alias("v")).withColumn("n", norm(F.col("v")))
-    q = queries.select("query_id", as_double(F.col("query_vec")).alias("q")).withColumn("qn", norm(F.col("q")))
-    pairs = pool.crossJoin(F.broadcast(q)).where("id <> query_id")  # queries: a bounded batch
+    q = as_batch(queries, max_queries).select("query_id", as_double(F.col("query_vec")).alias("q")).withColumn("qn", norm(F.col("q")))
+    pairs = pool.crossJoin(q).where("id <> query_id")
     scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn")), 6).alias("score"))
     return top_k(scored, ["query_id"], k)
 

@@ -38,10 +38,8 @@ def _bm25_pool(q: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _dense_pool(q: DataFrame, chunks: DataFrame, max_queries: int = 1000) -> DataFrame:
-    if q.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} questions at once; split the batch")
     v = chunks.select("id", "primary_tickers", "mentioned_tickers", providers.hashed_embedding(F.col("contextualized_text")).alias("v"))
-    pairs = v.crossJoin(F.broadcast(q.select("query_id", "tickers", providers.hashed_embedding(F.col("query")).alias("qv"))))  # a bounded batch
+    pairs = v.crossJoin(search.as_batch(q, max_queries).select("query_id", "tickers", providers.hashed_embedding(F.col("query")).alias("qv")))
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return pairs.select("query_id", "id", "tickers", "primary_tickers", "mentioned_tickers", F.round(dot, 6).alias("score"))
 

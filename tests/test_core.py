@@ -253,6 +253,13 @@ def test_filters_sink_below_ranking(spark):
     assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_dense_search_takes_any_number_of_queries(spark):
+    df = spark.range(40).withColumn("embedding", F.array(F.lit(1.0), F.col("id").cast("double")))
+    q = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    few, many = (search.dense_top_k(df, q, "id", "embedding", 3, max_queries=n).collect() for n in (40, 7))
+    assert len(many) == 40 * 3 and sorted(many) == sorted(few)
+
+
 def test_company_first(spark):
     cols = "query_id int, id string, score double, rank int"
     p = spark.createDataFrame([(1, "a", 0.1, 1), (2, "a", 0.1, 1), (2, "b", 0.1, 2)], cols)
