@@ -471,8 +471,9 @@ def total_articles(spark, d):
          z AS (SELECT m.a, m.t, bool_and((m.a, m.s) IN (SELECT a, s FROM y)) AS o FROM m GROUP BY 1, 2)
     SELECT a AS article_id, t AS ticker FROM z WHERE o AND (a, t) NOT IN (SELECT a, t FROM d WHERE p < 50)""")
 def enumeration_range_join(spark, d):
-    body = table(spark, d, "events").where("event_id < 100000").select((F.col("user_id") % 40).alias("article_id"), F.col("event_type").alias("ticker"), F.col("event_id").cast("int").alias("start"))
-    s = body.select("article_id").distinct().select("article_id", F.explode(F.sequence(F.lit(0), F.lit(99_900), F.lit(300))).alias("start")).withColumn("end", F.col("start") + 300)
+    body = table(spark, d, "events").select((F.col("user_id") % 40).alias("article_id"), F.col("event_type").alias("ticker"), F.col("event_id").cast("int").alias("start"))
+    last = body.agg(F.greatest(F.max("start"), F.lit(0)).alias("last"))  # one row
+    s = body.select("article_id").distinct().crossJoin(F.broadcast(last)).select("article_id", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(300))).alias("start")).withColumn("end", F.col("start") + 300)
     return relevance.enumeration_only(body, s, body.where("start < 50"), 3)
 
 

@@ -10,7 +10,7 @@ from corpusq import config as C
 from corpusq.functions import sentences as S
 from corpusq.functions import text as T
 from corpusq.operators import chunking, cleaning, coverage, dedup, evaluate, grounding, index, mentions, questions, relevance, search, stubs
-from corpusq.queries import checkpoint
+from corpusq.queries import QUERIES, checkpoint
 from corpusq.sources import feeds
 from corpusq.streaming import lines
 
@@ -197,6 +197,12 @@ def test_salience_and_tiers(spark):
     assert [t(0.5, "news"), t(0.79, "listicle"), t(0.49, "press_release"), t(0.9, "news", True)] == ["primary", "mentioned", "incidental", "incidental"]
 
 
+def test_enumeration_query_reads_every_event(spark, tmp_path):
+    rows = [(100_000 + i, 1, t) for i, t in enumerate("abc")] + [(200_000, 1, "a")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(map(tuple, QUERIES["enumeration_range_join"](spark, str(tmp_path)).collect())) == [(1, "b"), (1, "c")]
+
+
 def test_enumerations_and_focus(spark):
     m = "article_id string, ticker string, start int, tagged boolean"
     body = spark.createDataFrame([("a", f"T{i}", i, False) for i in range(8)] + [("a", "T0", 50, False)], m)
