@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusq import config as C
 from corpusq.functions import text as T
+from corpusq.functions.lineage import checkpoint
 from corpusq.operators import coverage as COV
 from corpusq.operators import dedup, evaluate, grounding, index, mentions, questions, relevance, search
 
@@ -31,15 +31,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; our own only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusq-checkpoint"))
-    return df.checkpoint(eager=True)
-
-
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """Documents as raw articles: the first line is the title, equal texts share a link, the source is the feed key."""
     docs = table(spark, d, "documents")
