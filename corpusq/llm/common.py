@@ -10,6 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusq.functions.lineage import checkpoint, shared_folder
+
+__all__ = ["BATCH_ROWS", "Words", "checkpoint", "fold", "mix64", "read", "shared_folder", "ship"]
+
 _SHIPPED: set[str] = set()
 
 
@@ -41,25 +45,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset (single-machine tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusq-checkpoint"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(id_col: str) -> Column:
     """crc32 of the id's text modulo 5; 0 marks the held-out fold."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
