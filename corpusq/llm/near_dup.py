@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections import Counter, OrderedDict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +27,6 @@ from corpusq.llm.common import Words, checkpoint, mix64, ship
 SHINGLE, SIZE, ROWS = 5, 128, 4
 #: 32 bands of 4: a pair of similarity 0.8 meets in no band with a probability of (1 - 0.8^4)^32 < 5e-8.
 BANDS = SIZE // ROWS
-#: Leaders of a bucket that are ranked at a time, and rounds in a row without a link after which the rest is met at once.
-LEADERS, QUIET = 8, 2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,24 +153,33 @@ def sign(docs: DataFrame, id_col: str, text_col: str, group: int = 500) -> DataF
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough; texts: rep, text."""
-    both = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    kind = both.schema["a"].dataType.simpleString()
+def verify(pairs: DataFrame, texts: DataFrame, least: float, share: int = 512) -> DataFrame:
+    """The pairs (a, b, la, lb) whose multisets overlap enough; texts: rep, text.
+
+    A text that stands in many pairs as ``a`` is sent once for about every ``share`` of them, in front of their own
+    texts, so no pair carries two texts and no task meets all partners of a hot one.
+    """
+    spans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("parts"))
+    own, other = (texts.select(F.col("rep").alias(x), "text") for x in "ab")
+    blank = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in ("b", "la", "lb")]
+    heads = spans.join(own, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *blank, "text")
+    tails = pairs.join(spans, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int")).join(other, "b").select("a", "part", "b", "la", "lb", "text")
+    rows = heads.union(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[str, Counter] = OrderedDict()  # a leader meets many texts in a row
+        head: Counter = Counter()
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
-            for i, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if ta not in recent:
-                    recent[ta] = shingles(ta)
-                    if len(recent) > 16:
-                        recent.popitem(last=False)
-                ok[i] = overlap(recent[ta], shingles(tb)) >= least
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
+            for i, (b, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                if b is None:
+                    head = shingles(text)
+                else:
+                    ok[i] = overlap(head, shingles(text)) >= least
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 2, 3, 4)], ["a", "b", "la", "lb"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a {kind}, b {kind}, la {kind}, lb {kind}")
 
 
 def unmet_pairs(texts: DataFrame, least: float) -> DataFrame:
@@ -221,26 +228,48 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+def merged_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (rep, label) after the classes of each edge (a, b) of labels have become one."""
+    roots = components(edges)
+    return checkpoint(labels.join(roots, labels["label"] == roots["id"], "left").select("rep", F.coalesce("root", "label").alias("label")))
+
+
+def bucket_leaders(held: DataFrame, many: int) -> DataFrame:
+    """key, leader, leader_mates, leader_label: the most central member of each of ``many`` shares of a bucket. held: key, rep, mates, label."""
+    best = held.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(many)).alias("share")).agg(F.min(F.struct((-F.col("mates")).alias("least"), "rep", "label")).alias("best"))
+    return best.select("key", F.col("best.rep").alias("leader"), (-F.col("best.least")).alias("leader_mates"), F.col("best.label").alias("leader_label"))
+
+
+def leader_pairs(held: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Pairs (a, b, la, lb) of leaders and members of another class, each once, the more central text in front."""
+    first = F.struct((-F.col("leader_mates")).alias("m"), F.col("leader").alias("r")) < F.struct((-F.col("mates")).alias("m"), F.col("rep").alias("r"))
+    sides = (("leader", "rep", "a"), ("rep", "leader", "b"), ("leader_label", "label", "la"), ("label", "leader_label", "lb"))
+    return held.join(chosen, "key").where("label <> leader_label").select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(to) for x, y, to in sides]).distinct()
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, leaders: tuple[int, ...] = (1,)) -> DataFrame:
     """One row per document id: doc_id, class_id (the smallest id of its class), kept (that id).
 
     Classes are the connected parts of the graph of verified links (overlap of at least ``least``). Texts of the
     same words (lower-cased, split at white space) are copies: one stands for all. Texts of fewer than five
-    words are one shingle. Texts without words (null, empty, blank) and rows without an id are in no class
-    with others. A repeated row is one document; if one id has several texts, its class is the smallest one of
-    theirs and links are verified on the greatest text. An empty table gives an empty result; further columns
-    are ignored.
-
-    No pairs within a bucket are listed. The members of a band bucket have an order, the most central first (the
-    ones with the most bucket mates). In round r the r-th member of every bucket is its leader, and meets the later
-    members that are of another class so far; verified links merge classes. Rounds end when QUIET of them in a row
-    find no link, or nobody is left to meet. The work of a round is linear in the members of buckets. So a link is
-    lost only if its texts never share a band, or if neither of them is among the first leaders of a shared bucket
-    and nothing else connects their classes; the README has measured figures.
-    Aggregations combine on the map side, leaders come from a ranking limited on the map side, and the other side
-    of each join has one row per key, so Spark can split a hot bucket or a hot leader.
+    words are one shingle. Texts without words (null, empty, blank) are in no class with others; each row without
+    an id gives one row without a class, kept. Texts are read whole, however long. A repeated row is one document;
+    if one id has several texts, its class is the smallest one of theirs and links are verified on the greatest
+    text. An empty table gives an empty result; further columns, whatever their names, are ignored.
+
+    No pairs within a bucket are listed. First every text meets the most central member of the largest bucket it is in.
+    Then, in each round, a band bucket that holds several classes has as many leaders
+    as ``leaders`` says, the most central member (the one with the most bucket mates) of each of so many shares
+    of the bucket, and they meet all members of other classes; verified links merge classes. Leaders then leave the
+    bucket, as they have met everybody there. A round's work is linear in the members of mixed buckets. What is
+    still in mixed buckets after the rounds meets in one join with a lossless filter (:func:`unmet_pairs`), whose
+    result is verified too. So every link between texts that share a band is found, however the rounds are
+    chosen; ``leaders=()`` leaves all to the join.
+    Aggregations combine on the map side, and the other side of each join has one row per key (or leader), so
+    Spark can split a hot bucket.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     signed = checkpoint(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     worded = signed.where("n > 0")
     reps = checkpoint(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
@@ -251,47 +280,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once = sizes.groupBy("size", "p0", "p1").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "size", "times")
     met = checkpoint(bands.join(once, "key"))
     central = met.groupBy("rep").agg(F.sum((F.col("size") - 1) * F.col("times")).alias("mates"))
-    members = checkpoint(met.select("key", "rep").join(central, "rep"))
-    wanted = central.select("rep")
-    texts = checkpoint(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep").groupBy("rep").agg(F.max("text").alias("text")))
-    labels = wanted.select("rep", F.col("rep").alias("label"))
-    order = Window.partitionBy("key").orderBy(F.desc("mates"), "rep")
-    tail, quiet, done = members, 0, False
-    while not done:
-        leaders = checkpoint(tail.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= LEADERS).select("key", "turn", F.col("rep").alias("leader"), F.col("mates").alias("leader_mates")))
-        later = (F.col("mates") < F.col("leader_mates")) | ((F.col("mates") == F.col("leader_mates")) & (F.col("rep") > F.col("leader")))
-        for turn in range(1, LEADERS + 1):
-            led = leaders.where(F.col("turn") == turn).join(labels.select(F.col("rep").alias("leader"), F.col("label").alias("leader_label")), "leader")
-            met_now = members.join(labels, "rep").join(led, "key").where(later & (F.col("label") != F.col("leader_label")))
-            pairs = checkpoint(met_now.groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.first("leader_label").alias("la"), F.first("label").alias("lb")))
-            done = pairs.isEmpty() and leaders.where(F.col("turn") > turn).isEmpty()
-            links = verify(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"])
-            edges = checkpoint(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-            quiet = quiet + 1 if edges.isEmpty() else 0
-            if quiet == 0:
-                roots = components(edges)
-                labels = checkpoint(labels.join(roots, labels["label"] == roots["id"], "left").select("rep", F.coalesce("root", "label").alias("label")))
-            done = done or quiet >= QUIET
-            if done:
-                break
-        else:  # links still turn up: the next leaders, those after the last one
-            last = leaders.where(F.col("turn") == LEADERS).drop("turn")
-            tail = members.join(last, "key").where(later).select("rep", "key", "mates")
-    # Let Spark's cleaner free the disk of the rounds that are over: it acts on what the JVM has collected.
-    del pairs, links, edges, met_now, led, tail
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    # Who ranks behind the last leader of a bucket has not met the others there.
-    unmet = members.join(leaders.where(F.col("turn") == turn), "key").where(later).select("key", "rep").join(labels, "rep")
-    mixed = unmet.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    waiting = checkpoint(unmet.join(mixed, "key").select("rep", "label").distinct())
-    if not waiting.isEmpty():
-        pairs = checkpoint(unmet_pairs(waiting.join(texts, "rep"), least))
-        edges = checkpoint(verify(pairs.select("a", "b"), texts, least).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    rest = met.select("key", "rep").join(central, "rep")
+    labels = checkpoint(central.select("rep", F.col("rep").alias("label")))
+    texts = checkpoint(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(labels.select("rep"), "rep").groupBy("rep").agg(F.max("text").alias("text")))
+    # First each text meets the most central member of its largest bucket alone, which joins the large classes.
+    largest = F.max_by("key", F.struct("size", "key")).alias("key")
+    homes = met.groupBy("rep").agg(largest).join(central, "rep")
+    for many in ("home", *leaders, "all"):
+        held = (homes if many == "home" else rest).join(labels, "rep")
+        mixed = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        held = checkpoint(held.join(mixed, "key", "left_semi").select("key", "rep", "mates", "label"))
+        if held.isEmpty():
+            if many == "home":
+                continue
+            break
+        if many == "all":
+            pairs = checkpoint(unmet_pairs(held.select("rep", "label").distinct().join(texts, "rep"), least))
+        else:
+            chosen = bucket_leaders(held, 1 if many == "home" else many)
+            pairs = checkpoint(leader_pairs(held, chosen))
+            if many != "home":
+                rest = held.join(chosen.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "mates")
+        edges = checkpoint(verify(pairs, texts, least).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
         if not edges.isEmpty():
-            roots = components(edges)
-            labels = checkpoint(labels.join(roots, labels["label"] == roots["id"], "left").select("rep", F.coalesce("root", "label").alias("label")))
+            labels = merged_labels(labels, edges)
+        # Let Spark's cleaner free what the round has left on disk: it acts on what the JVM has collected.
+        del held, mixed, pairs, edges
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     named = reps.select("k1", "k2", "rep").join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class"))
     ids = signed.select("doc_id", "n", "k1", "k2").distinct()
     found = ids.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", "class").union(ids.where("n = 0").select("doc_id", F.col("doc_id").alias("class")))
-    return found.groupBy("doc_id").agg(F.min("class").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    classes = found.groupBy("doc_id").agg(F.min("class").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("doc_id"), F.col(id_col).alias("class_id"), F.lit(True).alias("kept"))
+    return classes.unionByName(nameless)
