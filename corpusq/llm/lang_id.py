@@ -8,6 +8,7 @@ with the log-weights of backing off. A character costs one search unless it back
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,10 +23,8 @@ from corpusq.functions.partitions import spread
 from corpusq.llm.common import Words, fold, mix64, ship
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Longest word scored as one piece; longer runs of letters are cut into pieces of this length.
-CUT = 40
-#: Chunks (white-space-separated) a worker remembers; a full memory starts anew.
-MEMORY = 300_000
+#: Chunks (white-space-separated, of up to LONG bytes) a worker remembers; a full memory starts anew.
+MEMORY, LONG = 300_000, 256
 
 
 @dataclass
@@ -38,15 +37,13 @@ class Model:
     ctx_logw: np.ndarray
     floor: np.ndarray  # log-probability of an unseen character, by language
     sharpness: float = 8.0
-    reject_above: float = np.inf  # cross-entropy (nats a character) of the best language
-    reject_below: float = 0.0  # score
+    reject_above: np.ndarray | None = None  # by language: cross-entropy (nats a character) in it, as the best one
+    spread: np.ndarray | None = None  # by language: what the limit rises by for a text of one character
 
 
 def words_of(text: str) -> list[str]:
-    out = []
-    for w in WORD.findall(text.lower()):
-        out.extend([w] if len(w) <= CUT else [w[i : i + CUT] for i in range(0, len(w), CUT)])
-    return out
+    """Runs of letters, however long, in lower case."""
+    return WORD.findall(text.lower())
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,23 +176,24 @@ class Scorer:
 
     def chunk_sums(self, chunks: list[bytes]) -> np.ndarray:
         """Per chunk: summed log-probability by language, and the number of scored characters."""
+        if len(self.row) > MEMORY:
+            self.row, self.sums = {}, self.sums[:0]
         new = [c for c in chunks if c not in self.row]
-        if len(self.row) + len(new) > MEMORY:
-            self.row, self.sums, new = {}, self.sums[:0], chunks
-        if new:
-            per = [words_of(c.decode("utf-8", "replace")) for c in new]
-            flat = Words()
-            idx = [flat[w] for ws in per for w in ws]
-            owner = np.repeat(np.arange(len(new)), [len(ws) for ws in per])
-            uniq = list(flat)
-            table = np.concatenate([score_words(self.m, uniq), np.array([[len(w) + 1.0] for w in uniq]).reshape(-1, 1)], 1)
-            got = np.zeros((len(new), table.shape[1]))
-            np.add.at(got, owner, table[idx] if idx else table[:0])
-            if len(chunks) > MEMORY:  # a batch of so many chunks is not remembered
-                return got
-            self.row.update(zip(new, range(len(self.sums), len(self.sums) + len(new)), strict=True))
-            self.sums = np.concatenate([self.sums, got])
-        return self.sums[[self.row[c] for c in chunks]]
+        per = [words_of(c.decode("utf-8", "replace")) for c in new]
+        flat = Words()
+        idx = [flat[w] for ws in per for w in ws]
+        owner = np.repeat(np.arange(len(new)), [len(ws) for ws in per])
+        uniq = list(flat)
+        table = np.concatenate([score_words(self.m, uniq), np.array([[len(w) + 1.0] for w in uniq]).reshape(-1, 1)], 1)
+        got = np.zeros((len(new), table.shape[1]))
+        np.add.at(got, owner, table[idx] if idx else table[:0])
+        short = [i for i, c in enumerate(new) if len(c) <= LONG]
+        self.row.update(zip([new[i] for i in short], range(len(self.sums), len(self.sums) + len(short)), strict=True))
+        self.sums = np.concatenate([self.sums, got[short]])
+        long = {c: i for i, c in enumerate(new) if len(c) > LONG}
+        if not long:
+            return self.sums[[self.row[c] for c in chunks]]
+        return np.stack([got[long[c]] if c in long else self.sums[self.row[c]] for c in chunks])
 
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy by language (nats a character) and scored characters of each text."""
@@ -219,81 +217,132 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def calibrate(m: Model, texts: list[bytes], langs: list[str]) -> Model:
-    """Sharpness by maximum likelihood, and the limits of rejection, from labelled texts that made no counts.
+def calibrate(m: Model, h: np.ndarray, n: np.ndarray, langs: list[str]) -> Model:
+    """Sharpness by maximum likelihood and limits of rejection, from labelled texts that made no counts.
 
-    The sharpness is the least one whose loss is within 0.001 of the best. A text is rejected if its cross-entropy
-    in its best language exceeds that of every calibration text by a quarter, or if its score is under half of the
-    lowest among them (never over 0.5).
+    ``h``: cross-entropies by language, ``n``: scored characters. The sharpness is the least one whose loss is within
+    0.001 of the best. A text is rejected if the cross-entropy in its best language exceeds that language's limit: the
+    99th percentile of its calibration texts and as much again as that lies above their median, and for short
+    texts, whose cross-entropy varies more, a share of its spread that falls with the root of the length.
     """
-    h, n = Scorer(m).texts(texts)
-    y = np.array([m.langs.index(x) for x in langs])
     use = n > 0
-    h, y = h[use], y[use]
+    h, n, y = h[use], n[use], np.array([m.langs.index(x) for x in langs], int)[use]
     if not len(y):
         return m
     grid = [1, 2, 4, 8, 16, 32]
     loss = [-np.log(_softmax(-h * g)[np.arange(len(y)), y] + 1e-12).mean() for g in grid]
     m.sharpness = float(next(g for g, x in zip(grid, loss, strict=True) if x <= min(loss) + 1e-3))
-    m.reject_above = float(h.min(1).max() * 1.25)
-    m.reject_below = float(min(0.5, _softmax(-h * m.sharpness).max(1).min() / 2))
+    m.reject_above, m.spread = np.full(len(m.langs), np.inf), np.zeros(len(m.langs))
+    for j in range(len(m.langs)):
+        own, size = h[y == j, j], n[y == j]
+        if len(own) >= 10:
+            middle, high = np.quantile(own, (0.5, 0.99))
+            m.reject_above[j] = 2 * high - middle + 0.25
+            m.spread[j] = 4 * np.sqrt((size * (own - middle) ** 2).mean())
     return m
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, max_chars: int = 20_000, order: int = 5) -> Model:
+def too_strange(m: Model, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Texts beyond the limit of their best language; none without a calibration."""
+    if m.reject_above is None:
+        return np.zeros(len(h), bool)
+    best = h.argmin(1)
+    return h.min(1) > m.reject_above[best] + m.spread[best] / np.sqrt(np.maximum(n, 1))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, order: int = 5) -> Model:
     """Fit on a sample of labelled rows outside the held-out fold.
 
-    The bound is a parameter: about ``per_lang`` whole documents of each language (by a hash of the id, all if
-    there are fewer) of at most ``max_chars`` characters, so a model has a bounded size whatever the corpus.
-    A fifth of the sample (by hash) calibrates, the rest is counted. Training runs on the driver.
+    The bound is a parameter: about ``per_lang`` whole documents of each language (by a hash of the id, all if there
+    are fewer), however long, so the work does not grow with the corpus. A fifth of the sample (by hash) calibrates;
+    executors count the words of the rest, and one task makes the model of the counts. Only the model and the
+    cross-entropies of the calibration texts reach the driver. Null texts and null languages teach nothing;
+    without labelled rows the only language is ``und``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (fold("doc_id") != 0))
-    # The counts need two narrow columns only.
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 0))
+    # The counts need narrow columns only.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return fit_counts({"und": Counter()}, order)
     u = F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND(F.lit(2**40 - 1)) / F.lit(float(2**40))
     pick = F.lit(False)
-    for lang, n in counts.items():
+    for lang, n in sizes.items():
         pick = pick | ((F.col("lang") == lang) & (u < min(1.0, per_lang / n)))
-    sample = rows.where(pick & (F.length("text") <= max_chars))
-    words, texts, langs = {k: Counter() for k in counts}, [], []
-    for r in sample.withColumn("cal", u * 5 * 2**20 % 5 < 1).collect():
-        if r["cal"]:
-            texts.append(r["text"].encode("utf-8", "replace")), langs.append(r["lang"])
-        else:
-            words[r["lang"]].update(words_of(r["text"]))
-    return calibrate(fit_counts(words, order), texts, langs)
-
-
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", group: int = 1000, carry: list[str] | None = None) -> DataFrame:
+    sample, calibrates = rows.where(pick), u * 5 * 2**20 % 5 < 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, Counter] = {}
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(lang, Counter()).update(words_of(text))
+            for lang, words in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {lang: Counter() for lang in sizes}
+        for batch in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts[lang][word] = n
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_counts(counts, order))], pa.binary())], ["model"])
+
+    words = sample.where(~calibrates).select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    m: Model = pickle.loads(words.coalesce(1).mapInArrow(make, "model binary").first()["model"])
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            h, n = scorer.texts([t.encode("utf-8", "replace") for t in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(n), batch.column(1), batch.column(2)], ["h", "n", "lang", "doc_id"])
+
+    got = sample.where(calibrates).select("text", "lang", "doc_id").mapInArrow(measure, f"h array<double>, n double, lang string, doc_id {rows.schema['doc_id'].dataType.simpleString()}").orderBy("doc_id").toArrow()
+    shared.destroy()
+    return calibrate(m, np.array(got["h"].to_pylist(), float).reshape(-1, len(m.langs)), got["n"].to_numpy(), got["lang"].to_pylist())
+
+
+def judged(m: Model, scorer: Scorer, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, cross-entropy in it and rejection of each text."""
+    h, n = scorer.texts(texts)
+    has, p = n > 0, _softmax(-h * m.sharpness).max(1)
+    lang = np.where(has, np.array(m.langs, object)[h.argmin(1)], "und")
+    return lang, np.where(has, p, 0.0), np.where(has, h.min(1), 0.0), ~has | too_strange(m, h, n)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", group: int = 1000) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, cross_entropy, rejected.
 
     ``und`` (score 0, rejected) if a text is null or has no letter. Ties of languages go to the first name.
     Whole texts are scored, however long. Rows may repeat and ids be null (held_out is then null); an empty
-    table gives an empty result; further columns are ignored, but those
-    named in ``carry`` stand in front of the new ones (instead of doc_id; the new ones' names then begin with
-    ``__``). No shuffle.
+    table gives an empty result; further columns, whatever their names, are ignored. No shuffle.
     """
     ship(docs.sparkSession)
     m = docs.sparkSession.sparkContext.broadcast(model)
-    rows = spread(docs.select(F.col(text_col).cast("binary").alias("__text"), *([F.col(id_col).alias("doc_id")] if carry is None else carry)))
-    names, pre = rows.columns[1:], "" if carry is None else "__"
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, scorer = m.value, Scorer(m.value)
+        scorer = Scorer(m.value)
         for whole in batches:
             for at in range(0, whole.num_rows, group):
                 batch = whole.slice(at, group)
-                h, n = scorer.texts(batch.column(0).to_pylist())
-                best, p = h.argmin(1), _softmax(-h * model.sharpness).max(1)
-                has, low = n > 0, h.min(1)
-                out = np.where(has, np.array(model.langs, object)[best], "und")
-                rejected = ~has | (low > model.reject_above) | (p < model.reject_below)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out.tolist(), pa.string()), pa.array(np.where(has, p, 0.0)), pa.array(np.where(has, low, 0.0)), pa.array(rejected)], [*names, *(pre + c for c in ("lang_pred", "score", "cross_entropy", "rejected"))])
-
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
-    found = rows.mapInArrow(run, f"{kinds}{pre}lang_pred string, {pre}score double, {pre}cross_entropy double, {pre}rejected boolean")
-    if carry is not None:
-        return found
+                lang, score, low, rejected = judged(m.value, scorer, batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+
+    found = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", group: int = 1000) -> DataFrame:
+    """The rows of ``docs`` that :func:`predict` would not reject, with their columns as they are, whatever their names."""
+    ship(docs.sparkSession)
+    m = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(m.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, group):
+                batch = whole.slice(at, group)
+                yield batch.filter(pa.array(~judged(m.value, scorer, batch.column(at_text).cast(pa.binary()).to_pylist())[3]))
+
+    return spread(docs).mapInArrow(run, docs.schema)
