@@ -197,25 +197,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_gam(x, got["y"].to_numpy()[order])
 
 
-def predict(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, group: int = 500, carry: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, group: int = 500) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted (1 from ``threshold`` on).
 
-    Null text counts as empty; empty texts are scored like all. Whole texts are read. Rows may repeat and ids
-    be null (held_out is then null); an empty table gives an empty result; further columns are ignored,
-    but those named in ``carry`` stand in front of the new ones (instead of doc_id; the new ones' names then
-    begin with ``__``). No shuffle.
+    Null text counts as empty; empty texts are scored like all. Whole texts are read, however long. Rows may
+    repeat and ids be null (held_out is then null); an empty table gives an empty result; further columns,
+    whatever their names, are ignored. No shuffle.
     """
     ship(docs.sparkSession)
     m = docs.sparkSession.sparkContext.broadcast(model)
-    rows = spread(docs.select(F.col(text_col).cast("binary").alias("__text"), *([F.col(id_col).alias("doc_id")] if carry is None else carry)))
-    names, pre = rows.columns[1:], "" if carry is None else "__"
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, group):
                 batch = whole.slice(at, group)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(m.value.score(features(batch.column(0).to_pylist())))], [*names, f"{pre}score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.value.score(features(batch.column(1).to_pylist())))], ["doc_id", "score"])
 
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
-    scored = rows.mapInArrow(run, f"{kinds}{pre}score double").withColumn(f"{pre}predicted", (F.col(f"{pre}score") >= threshold).cast("int"))
-    return scored if carry is not None else scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Gam, text_col: str = "text", threshold: float = 0.3, group: int = 500) -> DataFrame:
+    """The rows of ``docs`` that :func:`predict` would give 1, with their columns as they are, whatever their names."""
+    ship(docs.sparkSession)
+    m = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, group):
+                batch = whole.slice(at, group)
+                score = m.value.score(features(batch.column(at_text).cast(pa.binary()).to_pylist()))
+                yield batch.filter(pa.array(score >= threshold))
+
+    return spread(docs).mapInArrow(run, docs.schema)
