@@ -14,11 +14,10 @@ def content_hash(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hash_fn: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """One row per distinct text: h, text, group_size, keep_id, clash.
+    """One row per distinct text: h, text, group_size, keep_id.
 
-    Grouping by (hash, text) compares bytes inside every hash group. The aggregation is partial on the map
-    side, so a text that fills a third of the table leaves each task as one row. ``clash`` marks texts whose
-    hash another text shares too.
+    The key is the hash and the bytes, so rows of one hash stay apart where their bytes differ. The aggregation
+    is partial on the map side, so a text that fills a third of the table leaves each task as one row.
     """
     pick = F.max if keep == "max" else F.min
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -28,14 +27,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hash_fn: Callable[[Column], Column] = content_hash) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null text counts as empty. The row with the largest id stays (``keep="min"``: the smallest). A null id is
-    kept only if its whole group has null ids. Rows that repeat both id and text are one document: they count
-    in ``group_size`` but leave one output row. An empty table gives an empty result. Further columns are
-    ignored.
+    Null text counts as empty; texts are compared whole, however long. The row with the largest id stays
+    (``keep="min"``: the smallest). A null id is kept only if its whole group has null ids. A document is an id
+    with a text: rows that repeat both are read and counted in ``group_size``, and have one output row; one id
+    with two texts has two. An empty table gives an empty result. Further columns, whatever their names, are ignored.
 
-    Hash collisions cannot merge texts: groups are made on (hash, bytes). Documents find their group by hash
-    and SHA-256; where several texts share a hash and a SHA-256 (in practice: only with an injected weak
-    ``hash_fn``) they find it by the text itself.
+    Groups are made on the 128-bit hash and then the bytes, so a collision cannot merge texts. A document finds
+    its group by that hash and the SHA-256 that its row shows, which is what spares a second shuffle of all texts.
     """
     groups = exact_groups(docs, id_col, text_col, keep, hash_fn)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -47,12 +45,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The kept rows with all their columns; the same decisions as :func:`exact_dedup`, in one shuffle.
 
-    A null text is compared as empty and stays null if its row stays.
+    A null text is compared as empty and stays null if its row stays. Ids may be of any type that has an order, and
+    columns have any names; rows that repeat an id and a text leave one.
     """
-    pick = F.max_by if keep == "max" else F.min_by
+    others = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("__null"))
-    rank = F.coalesce(F.col(id_col), F.lit(-(2**63) if keep == "max" else 2**63 - 1))
-    kept = docs.select(content_hash(text).alias("__h"), text.alias("__text"), rank.alias("__rank"), whole.alias("__row")).groupBy("__h", "__text").agg(pick("__row", "__rank").alias("__row"))
-    back = {c: F.col("__row")[c] for c in docs.columns if c != text_col} | {text_col: F.when(~F.col("__row")["__null"], F.col("__text"))}
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).isNull().alias("null"))
+    rank = F.struct((F.col(id_col).isNotNull() if keep == "max" else F.col(id_col).isNull()).alias("known"), F.col(id_col).alias("id"))
+    best = (F.max_by if keep == "max" else F.min_by)("row", "rank").alias("row")
+    kept = docs.select(content_hash(text).alias("h"), text.alias("text"), rank.alias("rank"), row.alias("row")).groupBy("h", "text").agg(best)
+    back = {c: F.col("row")[f"c{i}"] for i, c in enumerate(others)} | {text_col: F.when(~F.col("row")["null"], F.col("text"))}
     return kept.select(*[back[c].alias(c) for c in docs.columns])
