@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,17 +33,53 @@ class Pieces:
         self.cut_lines = not any("\n" in t and len(t) > 1 for t in self.ids)
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7) or varint()
+        yield tag >> 3, raw[at : at + size]
+        at += size
+
+
+def model_type(path: str) -> int:
+    """The file's kind of model: 1 unigram, 2 BPE (trainer settings are field 2, their kind of model is field 3)."""
+    with open(path, "rb") as f:
+        settings = next((v for k, v in _fields(f.read()) if k == 2), b"")
+    return next((v for k, v in _fields(settings) if k == 3), 1)
+
+
 def load(path: str) -> Pieces:
     """Read a .model file. Supported: BPE or unigram with byte fallback, dummy prefix, identity normaliser."""
     import sentencepiece
 
+    kind = model_type(path)
+    if kind not in (1, 2):
+        raise ValueError("only unigram and BPE models are supported")
+
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     if sp.normalize("ﬁ  é ") != "▁ﬁ▁▁é▁":
         raise ValueError("only the identity normaliser with a dummy prefix is supported")
     n = range(sp.get_piece_size())
     byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     usable = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in n]
-    return Pieces([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], usable, byte_ids)
+    return Pieces([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], usable, byte_ids, bpe=kind == 2)
 
 
 _RUNS = re.compile(rb"\n[^ \n]*| +[^ \n]*")
@@ -66,9 +102,9 @@ def pretokens(text: bytes, cut_lines: bool = True) -> Sequence[bytes]:
 
 
 def spelled(key: bytes) -> str:
-    """The normalised characters a key stands for."""
+    """The characters a key stands for, before normalisation."""
     s = key.decode("utf-8", "replace")
-    return (s if s[:1] in (" ", "\n") else " " + s).replace(" ", SPACE)
+    return s if s[:1] in (" ", "\n") else " " + s
 
 
 def batch_keys(texts: list[bytes | None], cut_lines: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -1,15 +1,20 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The normaliser (dummy prefix, space to the space mark), the pieces and the byte fallback are compiled into one
-machine. Composed with an input it is a lattice: nodes are positions, arcs are pieces, and a character that is
-no piece has an arc that spells its bytes. The output is the shortest path in the tropical semiring (min, +).
+Three machines are compiled: the normaliser (a dummy prefix, then each character to itself and a space to the space
+mark), the lexicon (a trie of the pieces that emits a piece where one ends, with byte fallback for a character that
+is no piece) and the neighbours (which piece may follow which, at which weight). The first two are composed
+once, so the trie reads texts as they are. Composed with an input they give a lattice: nodes are positions, arcs
+are pieces. The output is the shortest path in the tropical semiring (min, +).
 
-* Unigram models: an arc weighs the negated score of its piece.
+* Unigram models: an arc weighs the negated score of its piece; neighbours add nothing.
 * BPE models: an arc weighs nothing after a piece it can stand next to, and infinity after any other. Pieces p
   and q can stand together when merging the text p + q by rank gives back p, q. The result of BPE is the only
   sequence all of whose neighbours can stand together: no merge ever crossed its borders, and the first merge
   to cross a border of another such sequence would also occur within the two pieces next to that border. So
-  exactly one path has a finite weight, and so has the path to every position on it.
+  exactly one path has a finite weight, and so has the path to every position (the result for the text up to it).
+
+So at every position one way in is enough to remember: with BPE no other is finite, and with unigram the way on
+does not depend on it.
 """
 
 from __future__ import annotations
@@ -33,113 +38,116 @@ INF = float("inf")
 FALLBACK = 1e6
 
 
-class Transducer:
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.ids, self.texts, self.scores = pieces, pieces.ids, pieces.texts, pieces.scores
-        #: Bytes that a piece spells in decoding.
-        self.spells = [t.replace(SPACE, " ").encode() if u else b"" for t, u in zip(pieces.texts, pieces.usable, strict=True)]
-        for b, i in enumerate(pieces.byte_ids):
-            self.spells[i] = bytes([b])
-        #: The states that reading a piece passes through: each beginning of a piece, with the piece's id if it ends there, else -1.
-        self.states = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
-        #: Characters that stand side by side in some piece. Between two others every path has a node, so texts fall apart there.
-        self.inside = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
-        self.together: dict[int, bool] = {}
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+class Normaliser:
+    """Character to character: the characters that become another one; all others stay."""
+
+    def __init__(self) -> None:
+        self.to, self.prefix = {" ": SPACE}, " "
+
+    def sources(self, char: str) -> list[str]:
+        """The characters read where ``char`` is written."""
+        return [char, *(x for x, y in self.to.items() if y == char)]
+
+
+class Lexicon:
+    """The trie: ``step[state]`` gives the next state by character, ``emit[state]`` the piece that ends there (-1: none)."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.step: list[dict[str, int]] = [{}]
+        self.emit = [-1]
+        for text, piece in pieces.items():
+            at = 0
+            for char in text:
+                at = self.step[at].setdefault(char, len(self.step))
+                if at == len(self.step):
+                    self.step.append({})
+                    self.emit.append(-1)
+            self.emit[at] = piece
+
+    def after(self, normaliser: Normaliser) -> Lexicon:
+        """The composition normaliser, then trie: an arc for a character is read from each of its sources."""
+        out = Lexicon({})
+        out.step = [{x: to for char, to in arcs.items() for x in normaliser.sources(char)} for arcs in self.step]
+        out.emit = self.emit
+        return out
+
+
+class Neighbours:
+    """Weight of piece q after piece p (-1: the start, or byte fallback), expanded where it is asked for."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces, self.known = pieces, {}
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by its definition: merge the best (then leftmost) pair while there is one."""
-        s = list(text)
+        s, ids, scores = list(text), self.pieces.ids, self.pieces.scores
         while len(s) > 1:
             best, at = -INF, -1
             for i in range(len(s) - 1):
-                if (p := self.ids.get(s[i] + s[i + 1])) is not None and self.scores[p] > best:
-                    best, at = self.scores[p], i
+                if (p := ids.get(s[i] + s[i + 1])) is not None and scores[p] > best:
+                    best, at = scores[p], i
             if at < 0:
                 break
             s[at : at + 2] = [s[at] + s[at + 1]]
         return s
 
     def weight(self, last: int, piece: int) -> float:
-        """Of an arc for ``piece`` after ``last`` (-1: at the start or after byte fallback)."""
-        if not self.pieces.bpe:  # byte fallback and unigram pieces stand anywhere
-            return -self.scores[piece]
         key = (last + 1) << 24 | piece
-        ok = self.together.get(key)
-        if ok is None:
-            t = self.texts[piece]
-            ok = self.merged(t) == [t] if last < 0 else self.merged(self.texts[last] + t) == [self.texts[last], t]
-            if len(self.together) >= 2_000_000:
-                self.together.clear()
-            self.together[key] = ok
-        return 0.0 if ok else INF
+        t = self.pieces.texts[piece]
+        whole = [t] if last < 0 else [self.pieces.texts[last], t]
+        ok = 0.0 if self.merged("".join(whole)) == whole else INF
+        if len(self.known) >= 2_000_000:
+            self.known.clear()
+        self.known[key] = ok
+        return ok
 
-    def path(self, text: str) -> list[int]:
-        """Piece ids of the shortest path through the lattice of a normalised text."""
-        return self.only_finite(text) if self.pieces.bpe else self.cheapest(text)
-
-    def only_finite(self, text: str) -> list[int]:
-        """Where weights are 0 or infinite: the one path of weight 0, depth first, long pieces first.
 
-        As only one path of finite weight leads to a position, a position without a way on is on no complete
-        path and is never tried again.
-        """
-        n, get, together, weight = len(text), self.states.get, self.together.get, self.weight
-        dead = bytearray(n + 1)
-        nodes, pieces = [0], [-1]  # positions reached, and the piece that led to each (-1: none or byte fallback)
-        while (i := nodes[-1]) < n:
-            ends, j = [], i + 1
-            while j <= n and (p := get(text[i:j])) is not None:
-                if p >= 0:
-                    ends.append((j, p))
-                j += 1
-            after = (pieces[-1] + 1) << 24
-            if not ends or ends[0][0] != i + 1:  # the first character is no piece
-                ends.insert(0, (i + 1, -1))
-            for j, p in reversed(ends):
-                if dead[j]:
-                    continue
-                if p < 0:
-                    break
-                ok = together(after | p)
-                if ok is None:
-                    ok = weight(pieces[-1], p) == 0
-                if ok:
-                    break
-            else:
-                dead[i] = 1
-                nodes.pop(), pieces.pop()
-                continue
-            nodes.append(j), pieces.append(p)
-        out: list[int] = []
-        for a, b, p in zip(nodes, nodes[1:], pieces[1:], strict=False):
-            out.extend([p] if p >= 0 else [self.pieces.byte_ids[x] for x in text[a:b].encode("utf-8", "replace")])
-        return out
+class Transducer:
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        #: Bytes that a piece spells in decoding.
+        self.spells = [t.replace(SPACE, " ").encode() if u else b"" for t, u in zip(pieces.texts, pieces.usable, strict=True)]
+        for b, i in enumerate(pieces.byte_ids):
+            self.spells[i] = bytes([b])
+        self.normaliser = Normaliser()
+        self.machine, self.neighbours = Lexicon(pieces.ids).after(self.normaliser), Neighbours(pieces)
+        #: Characters that stand side by side in some piece. Between two others every path has a node, so lattices fall apart there.
+        self.inside = {x + y for t in pieces.ids for i in range(len(t) - 1) for x in self.normaliser.sources(t[i]) for y in self.normaliser.sources(t[i + 1])}
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def cheapest(self, text: str) -> list[int]:
-        """Where weights add up: position by position, keep the cheapest way to it."""
-        n = len(text)
-        cost, last, back = [INF] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
+    def path(self, text: str) -> list[int]:
+        """Piece ids of the shortest path through the lattice of a text: each position's arcs are relaxed in order."""
+        n, step, emit, near, bpe, scores = len(text), self.machine.step, self.machine.emit, self.neighbours.known, self.pieces.bpe, self.pieces.scores
+        root, fallback = step[0], 0.0 if bpe else FALLBACK
+        cost, last, back = [INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            one = False
-            for j in range(i + 1, n + 1):
-                p = self.states.get(text[i:j])
-                if p is None:
+            here, before = cost[i], (last[i] + 1) << 24
+            state, j, single = root.get(text[i]), i + 1, False
+            while state is not None:
+                piece = emit[state]
+                if piece >= 0:
+                    single |= j == i + 1
+                    if bpe:
+                        weight = near.get(before | piece)
+                        if weight is None:
+                            weight = self.neighbours.weight(last[i], piece)
+                    else:
+                        weight = -scores[piece]
+                    if here + weight < cost[j]:
+                        cost[j], last[j], back[j] = here + weight, piece, i
+                if j == n:
                     break
-                if p >= 0:
-                    one |= j == i + 1
-                    if (w := cost[i] + self.weight(last[i], p)) < cost[j]:
-                        cost[j], last[j], back[j] = w, p, i
-            if not one and cost[i] + FALLBACK < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = cost[i] + FALLBACK, -1, i
+                state = step[state].get(text[j])
+                j += 1
+            if not single and here + fallback < cost[i + 1]:
+                cost[i + 1], last[i + 1], back[i + 1] = here + fallback, -1, i
         out: list[int] = []
-        j = n
-        while j > 0:
-            i = back[j]
-            out.extend([last[j]] if last[j] >= 0 else [self.pieces.byte_ids[b] for b in reversed(text[i:j].encode("utf-8", "replace"))])
-            j = i
+        while n:
+            i = back[n]
+            out.extend([last[n]] if last[n] >= 0 else [self.pieces.byte_ids[b] for b in reversed(text[i:n].encode("utf-8", "replace"))])
+            n = i
         return out[::-1]
 
     def part(self, text: str) -> bytes:
@@ -154,7 +162,7 @@ class Transducer:
         return ids
 
     def spell(self, text: str) -> bytes:
-        """Ids of a normalised text, from those of its parts."""
+        """Ids of a text that begins with the prefix or a character of its own, from those of its parts."""
         at, out, inside = 0, [], self.inside
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in inside:
