@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.llm.common import ship
+from corpusq.llm.common import checkpoint, ship
 
 #: Rows of a block of queries and of a block of candidates; a task holds a few arrays of QUERY_BLOCK x ROW_BLOCK doubles.
 QUERY_BLOCK, ROW_BLOCK = 512, 2048
+#: Bytes of query vectors that are broadcast at once.
+TURN_BYTES = 32 << 20
 #: Segments of the resolutions, coarse to fine.
 LEVELS = (1, 4, 16)
 
@@ -109,31 +111,43 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "
     repeated row counts once if the id and the vector repeat; one id with several vectors keeps each (equal
     scores of one id then rank by no further rule). Scores must fit 64 bits.
 
-    Queries and candidates are packed into blocks and every query block meets every candidate block: a stated
-    query set against all rows. A task carries the k-th best score of its query blocks along, emits k rows per
-    query and block pair at most, and a grouped top-k (limited on the map side) merges them.
+    Candidates are dealt by id into partitions of a few blocks. A query block meets every candidate block of its
+    dimension: a stated query set against all rows. Query blocks are broadcast in turns of at most TURN_BYTES, which
+    are counted first, so candidates never move again; beyond one turn, a further one reads the packed candidates
+    again. A task carries the k-th best score of its query blocks along, emits k rows per query and block pair
+    at most, and a grouped top-k (limited on the map side) merges them.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), queries.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     ints = good.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"), "q")
-    # Blocks need filling: rows are gathered into partitions of whole blocks.
-    base = ints.distinct()
-    left, right = _packed(base.where("q").select("id", "v"), QUERY_BLOCK, "q"), _packed(base.select("id", "v"), ROW_BLOCK, "x")
-    pairs = left.withColumnRenamed("dim", "qdim").crossJoin(right).where("qdim = dim").select("dim", "q_ids", "q_vals", "x_ids", "x_vals")
+    size = good.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("q"), 1)).alias("asked"), F.coalesce(F.sum(F.when(F.col("q"), 8 + 8 * F.size("v"))), F.lit(0)).alias("bytes")).first()
+    blocks, cores = -(-size["rows"] // ROW_BLOCK), spark.sparkContext.defaultParallelism
+    parts = max(1, min(blocks, 2 * cores), -(-blocks // 16))
+    turns = max(1, -(-size["bytes"] // TURN_BYTES))
+    base = ints.repartition(parts, "id").distinct()
+    right = _packed(base.select("id", "v"), ROW_BLOCK, "x")
+    if turns > 1:
+        right = checkpoint(right)
+    asked = ints.where("q").select("id", "v").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for dim, qi, qv, xi, xv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 qid, ids = np.frombuffer(qi, "<i8"), np.frombuffer(xi, "<i8")
-                if len(floors) > 64:
+                if len(floors) > 4096:
                     floors.clear()
                 floor = floors.setdefault(qi, np.full(len(qid), -np.inf))
                 a, b, s = block_topk(qid, np.frombuffer(qv, "<i8").reshape(len(qid), dim), floor, ids, np.frombuffer(xv, "<i8").reshape(len(ids), dim), k)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(b), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    from pyspark.sql import Window
-
+    found = None
+    for turn in range(turns):
+        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn).repartition(max(1, -(-size["asked"] // (turns * QUERY_BLOCK))))
+        left = F.broadcast(_packed(mine, QUERY_BLOCK, "q").withColumnRenamed("dim", "qdim"))
+        pairs = right.join(left, F.col("qdim") == F.col("dim")).select("dim", "q_ids", "q_vals", "x_ids", "x_vals")
+        got = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = got if found is None else found.unionAll(got)
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
