@@ -1,7 +1,9 @@
 """Lexical retrieval packing: windows of related documents, found in a sharded BM25 index.
 
-Documents are dealt into shards by a hash of their id; every shard is packed alone. In a shard an inverted
-index over token ids returns the unused neighbours of a seed document, which fill the seed's window.
+Documents that share words are routed to the same shard: the table is ordered by two weighted minimum hashes of
+each document's words (long words weigh more), and shards are runs of that order. In a shard an inverted index over
+token ids, with document frequencies and the mean length of the whole table, returns the unused neighbours of a
+seed document, which fill the seed's window.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions.partitions import spread
-from corpusq.llm.common import Words, ship
+from corpusq.llm.common import Words, checkpoint, mix64, ship
 from corpusq.llm.sp_fst import _spans
 
 #: Parts of white-space-separated chunks whose ids a worker remembers (about 200 bytes each); a full memory starts anew.
@@ -31,8 +35,6 @@ _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The byte alphabet of byte-level BPE: bytes of visible characters stand for themselves, the others follow from 256 on.
 BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up, and neighbours that are tried for its window.
-TERMS, NEIGHBOURS = 24, 64
 
 
 class Ids:
@@ -116,23 +118,45 @@ class Ids:
         ids = self.part[part] = self.word(text) if self.by_model and text.isalpha() else self.fresh([text])[0]
         return ids
 
-    def texts(self, texts: list[bytes | None]) -> list[np.ndarray]:
+    def texts(self, texts: list[bytes | None], words: list[bytes], flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text; words, flat and ends are what :func:`cut_words` gives for the texts."""
         if not self.by_chunk:
             return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)]
-        words, rows = Words(), []
-        for t in texts:
-            cut = t.split() if t else ()
-            rows.append(np.fromiter(map(words.__getitem__, cut), np.int32, len(cut)))
-        flat, ends = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
         if not len(flat):
             return [np.zeros(0, "<u4")] * len(texts)
-        parts = self.chunks(list(words))
+        parts = self.chunks(words)
         size = np.array([len(p) for p in parts]) // 4
         pool, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
         ids, cum = pool[_spans(first[flat], size[flat])], np.append(0, np.cumsum(size[flat]))
         return [ids[cum[a] : cum[b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def cut_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct white-space-separated words, each word's row among them, and where each text's words start (and the end)."""
+    words, rows = Words(), []
+    for t in texts:
+        cut = t.split() if t else ()
+        rows.append(np.fromiter(map(words.__getitem__, cut), np.int32, len(cut)))
+    return list(words), np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+
+
+def routes(words: list[bytes], flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers a text. Each is the name of the word of the least hash, drawn at a rate of its squared length.
+
+    Two texts agree in a number with the probability of their words' weighted overlap. Texts without words have zeros.
+    """
+    bare = [w.lower().strip(MARKS + b"\"'()") for w in words]
+    code = np.array([zlib.crc32(w) << 8 | min(len(w), 255) for w in bare], np.uint64)
+    rate = np.array([min(len(w), 20) ** 2 + 1e-6 for w in bare])
+    out, full = np.zeros((len(ends) - 1, 2), np.int64), np.nonzero(np.diff(ends))[0]
+    for k in range(2):
+        h = mix64(code + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        wait = -np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate
+        if len(full):
+            out[full, k] = mix64(np.minimum.reduceat(wait[flat], ends[full]).view(np.uint64)).view(np.int64)
+    return out
+
+
 _IDS: dict[str, Ids] = {}
 
 
@@ -143,33 +167,25 @@ def token_ids(path: str) -> Ids:
 
 
 class Index:
-    """BM25 postings of one shard's documents, term by term."""
+    """BM25 postings of one shard's documents, term by term. ``idf`` by token id and ``mean`` length are the table's."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         n, length = len(docs), np.array([len(d) for d in docs], np.int64)
         both = np.sort((np.repeat(np.arange(n), length) << 32) + np.concatenate(docs).astype(np.int64))
         first = np.nonzero(np.append(True, both[1:] != both[:-1]))[0]
         tf = np.diff(np.append(first, len(both))).astype(float)
-        self.owner, term = both[first] >> 32, both[first] & 0xFFFFFFFF
-        kinds, inv, df = np.unique(term.astype(np.uint16) if term.max(initial=0) < 1 << 16 else term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        w = idf[inv] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.owner] / length.mean()))
-        order = np.argsort(inv.astype(np.uint16) if len(kinds) < 1 << 16 else inv, kind="stable")
-        self.n, self.doc, self.w = n, self.owner[order], w[order]
+        owner, term = both[first] >> 32, both[first] & 0xFFFFFFFF
+        w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
+        kinds, term, df = np.unique(term, return_inverse=True, return_counts=True)
+        order = np.argsort(term.astype(np.uint16) if len(kinds) < 1 << 16 else term, kind="stable")
+        self.n, self.doc, self.w = n, owner[order], w[order]
         self.first, self.df = np.cumsum(df) - df, df
-        # Terms of each document, with no use for those that no other document has.
-        self.term, self.use = inv, np.where(df[inv] > 1, w, 0)
-        self.start = np.searchsorted(self.owner, np.arange(n + 1))
-
-    def best_terms(self, doc: int) -> np.ndarray:
-        """The document's terms of the largest weights, ties by term."""
-        a, z = self.start[doc], self.start[doc + 1]
-        best = np.lexsort((self.term[a:z], -self.use[a:z]))[:TERMS] + a
-        return self.term[best[self.use[best] > 0]]
+        self.term, self.start = term, np.searchsorted(owner, np.arange(n + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score, ties by position; those without a shared term do not appear."""
-        t = self.best_terms(seed)
+        """All unused documents that share a term with the seed, by falling score, ties by position."""
+        t = self.term[self.start[seed] : self.start[seed + 1]]
+        t = t[self.df[t] > 1]
         if not len(t):
             return t
         at = _spans(self.first[t], self.df[t])
@@ -177,30 +193,25 @@ class Index:
         score[used] = 0
         score[seed] = 0
         hit = np.nonzero(score)[0]
-        if len(hit) > NEIGHBOURS:
-            hit = hit[np.argpartition(-score[hit], NEIGHBOURS)[:NEIGHBOURS]]
         return hit[np.lexsort((hit, -score[hit]))]
 
 
-def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of one shard, without padding.
+def bm25_idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
 
-    Whole windows of a long document stand alone. The rest of it, and short documents, are packed: the first
-    unused one is the seed; its neighbours follow by score as long as they fit, and the best one left is cut to
-    fill the window (its rest becomes the next seed). What remains at the end is shorter than a window and
-    becomes sequences whose lengths are powers of two, the longest first.
+
+def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, sequence, offset) of one shard, without padding. No document is longer than the window.
+
+    The first unused document is the seed; its neighbours follow by score as long as they fit, and the best one left
+    is cut to fill the window (its rest becomes the next seed). A window for which the neighbours do not suffice goes on
+    with the next unused documents. What remains at the end is shorter than a window and becomes sequences
+    whose lengths are powers of two, the longest first.
     """
     pieces, seq = [], 0
-    start = np.zeros(len(docs), np.int64)
-    size = np.array([len(d) for d in docs], np.int64)
-    for d in np.nonzero(size >= window)[0].tolist():
-        for _ in range(int(size[d] // window)):
-            pieces.append((d, int(start[d]), window, seq, 0))
-            seq += 1
-            start[d] += window
-    left = size - start
-    used = left == 0
-    index = Index(docs) if len(docs) else None
+    start, left = [0] * len(docs), [len(d) for d in docs]
+    used = np.array(left, np.int64) == 0
+    index = Index(docs, idf, mean) if len(docs) else None
     cursor, seed = 0, -1
     last: list[tuple[int, int, int]] = []
     while True:
@@ -211,28 +222,29 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
                 break
             seed = cursor
         used[seed] = True
-        chosen, room, waiting = [(seed, int(start[seed]), int(left[seed]))], window - int(left[seed]), []
+        chosen, room, waiting = [(seed, start[seed], left[seed])], window - left[seed], []
         if room:
             for d in index.neighbours(seed, used).tolist():
                 if left[d] <= room:
-                    chosen.append((d, int(start[d]), int(left[d])))
+                    chosen.append((d, start[d], left[d]))
                     used[d] = True
-                    room -= int(left[d])
+                    room -= left[d]
                     if not room:
                         break
                 else:
                     waiting.append(d)
-        seed = -1
+        seed, waiting = -1, waiting[::-1]
         while room:  # cut the best neighbour left; without neighbours take documents in order
-            d = waiting.pop(0) if waiting else -1
-            if d < 0:
+            if waiting:
+                d = waiting.pop()
+            else:
                 while cursor < len(docs) and used[cursor]:
                     cursor += 1
                 if cursor == len(docs):
                     break
                 d = cursor
-            take = min(room, int(left[d]))
-            chosen.append((d, int(start[d]), take))
+            take = min(room, left[d])
+            chosen.append((d, start[d], take))
             start[d] += take
             left[d] -= take
             room -= take
@@ -262,21 +274,25 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int,
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 2000, group: int = 1000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 2000, shard_tokens: int = 1_000_000, group: int = 1000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of the tokenizers file without added special tokens, then ``end_id`` (unless
     None). Every id lies in one piece; sequences are full or have a power of two as length, so none is padded.
-    Null text counts as empty (the end id alone; without one, such documents have no piece). Rows that repeat an
-    id are packed each for itself. An empty table gives an empty result; further columns are ignored.
-
-    One shuffle moves ids (two bytes each if they fit) to shards of about ``shard_docs`` documents by a hash of
-    the id, so a frequent source or text spreads evenly; the number of shards follows the row count.
+    Whole windows of a long document, however long it is, are sequences of their own; its rest is packed like a
+    short document. Null text counts as empty (the end id alone; without one, such documents have no piece). Rows that
+    repeat an id or a text are packed each for itself; ids may be null or of any type. An empty table gives an
+    empty result; further columns, whatever their names, are ignored.
+
+    Token ids are checkpointed (two bytes each if they fit). One narrow aggregation, combined in each task, counts the
+    document frequencies (as many rows as the vocabulary has). Then one range partitioning by the routes, with a
+    hash of the row behind them, moves the rests: partitions are equal in size even if one text or route is a third
+    of the table. A task cuts its sorted rows into shards of at most ``shard_docs`` documents and about ``shard_tokens``
+    ids, so its memory does not grow with the table. Ties are broken by that hash and the id's text, so a retried task packs alike.
     """
     spark = docs.sparkSession
     ship(spark)
-    shards = max(1, -(-docs.count() // shard_docs))
-    rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(shards)).alias("shard"), F.col(text_col).cast("binary").alias("text"))
+    rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,22 +300,70 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int |
         for whole in batches:
             for at in range(0, whole.num_rows, group):
                 batch = whole.slice(at, group)
-                ids = t.texts(batch.column(2).to_pylist())
+                texts = batch.column(1).to_pylist()
+                cut = cut_words(texts)
+                ids = t.texts(texts, *cut)
                 if end_id is not None:
                     ids = [np.append(x, np.uint32(end_id)) for x in ids]
-                wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in ids]
-                raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide), pa.array(raw, pa.binary())], ["doc_id", "shard", "wide", "ids"])
-
-    def pack_table(table: pa.Table) -> pa.Table:
-        order = np.lexsort((np.array([zlib.crc32(x) for x in table["ids"].to_pylist()]), np.array(table["doc_id"].fill_null(-(2**62)).to_pylist()))) if pa.types.is_integer(table["doc_id"].type) else np.argsort(np.array([str(x) for x in table["doc_id"].to_pylist()]), kind="stable")
-        table = table.take(pa.array(order))
+                crc = [[zlib.crc32(x[i : i + window].astype("<u4").tobytes()) for i in range(0, len(x) - window + 1, window)] for x in ids]
+                rest = [x[len(x) // window * window :] for x in ids]
+                wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in rest]
+                raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(rest, wide, strict=True)]
+                route = routes(*cut)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.list_(pa.int64())), pa.array(wide), pa.array(raw, pa.binary()), pa.array(route[:, 0]), pa.array(route[:, 1])], ["doc_id", "n", "crc", "wide", "ids", "r1", "r2"])
+
+    tokens = checkpoint(rows.mapInArrow(tokenise, f"doc_id {kind}, n long, crc array<long>, wide boolean, ids binary, r1 long, r2 long"))
+    rests = tokens.where(F.length("ids") > 0)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            ids = [np.frombuffer(x, "<u4" if w else "<u2") for w, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            term = np.concatenate(ids).astype(np.int64)
+            seen = np.unique((np.repeat(np.arange(len(ids)), [len(x) for x in ids]) << 32) + term) & 0xFFFFFFFF
+            if len(df) <= seen.max(initial=0):
+                df = np.append(df, np.zeros(int(seen.max()) + 1 - len(df), np.int64))
+            df += np.bincount(seen, minlength=len(df))
+        term = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], ["term", "df"])
+
+    found = rests.select("wide", "ids").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    size = rests.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("n") % window), F.lit(0)).alias("ids")).first()
+    df = np.zeros(max(found["term"].to_pylist(), default=0) + 1)
+    df[found["term"].to_numpy()] = found["df"].to_numpy()
+    shared = spark.sparkContext.broadcast(bm25_idf(df, size["rows"]))
+    mean = max(1.0, size["ids"] / max(1, size["rows"]))
+
+    def packed(kept: list[pa.RecordBatch], part: int, seq: int) -> tuple[pa.RecordBatch, int]:
+        table = pa.Table.from_batches(kept).combine_chunks()
         ids = [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(table["ids"].to_pylist(), table["wide"].to_pylist(), strict=True)]
-        shard = table["shard"][0].as_py()
-        got = np.array(pack_shard(ids, window), np.int64).reshape(-1, 5)
-        crc = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in got.tolist()]
-        size = np.array([len(x) for x in ids], np.int64)
-        return pa.table({"doc_id": table["doc_id"].take(pa.array(got[:, 0])), "start": got[:, 1], "length": got[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": size[got[:, 0]], "sequence_id": (shard << 32) + got[:, 3], "offset": got[:, 4]})
-
-    tokens = rows.mapInArrow(tokenise, f"doc_id {kind}, shard long, wide boolean, ids binary")
-    return tokens.groupBy("shard").applyInArrow(pack_table, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        got = np.array(pack_shard(ids, window, shared.value, mean), np.int64).reshape(-1, 5)
+        crc = [zlib.crc32(ids[d][s : s + k].astype("<u4").tobytes()) for d, s, k, _, _ in got.tolist()]
+        size = table["n"].to_numpy()
+        before = size // window * window
+        out = [table["doc_id"].combine_chunks().take(pa.array(got[:, 0])), pa.array(before[got[:, 0]] + got[:, 1]), pa.array(got[:, 2]), pa.array(crc, pa.int64()), pa.array(size[got[:, 0]]), pa.array((part << 36) + seq + got[:, 3]), pa.array(got[:, 4])]
+        return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]), seq + int(got[:, 3].max(initial=-1)) + 1
+
+    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held, ids = TaskContext.get().partitionId(), 0, [], 0
+        for whole in batches:
+            size = pc.binary_length(whole.column(3)).to_numpy() // 2
+            for i in range(0, whole.num_rows, 100):
+                held.append(whole.slice(i, 100))
+                ids += int(size[i : i + 100].sum())
+                if sum(map(len, held)) + 100 > shard_docs or ids >= shard_tokens:
+                    made, seq = packed(held, part, seq)
+                    yield made
+                    held, ids = [], 0
+        if held:
+            yield packed(held, part, seq)[0]
+
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    tie = F.xxhash64(F.col("doc_id").cast("string"), "ids")
+    parts = max(1, -(-size["ids"] // (4 * shard_tokens)), min(spark.sparkContext.defaultParallelism, size["rows"] // shard_docs))
+    by = ["r1", "r2", "tie"]
+    dealt = rests.select("doc_id", "n", "wide", "ids", "r1", "r2", tie.alias("tie")).repartitionByRange(int(parts), *by).sortWithinPartitions(*by, F.col("doc_id").cast("string"))
+    short = dealt.select("doc_id", "n", "wide", "ids").mapInArrow(pack_rows, schema)
+    full = tokens.where(F.size("crc") > 0).select("doc_id", F.posexplode("crc").alias("i", "ids_crc32"), "n")
+    number = F.lit(1 << 62) + F.monotonically_increasing_id()
+    return full.select("doc_id", (F.col("i").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), number.alias("sequence_id"), F.lit(0).cast("long").alias("offset")).unionAll(short)
