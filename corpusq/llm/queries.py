@@ -82,10 +82,10 @@ ORACLE_SQL = {
              t AS (SELECT host, count(*) AS host_pages FROM p GROUP BY 1),
              l AS (SELECT k, host, string_split(text, chr(10)) AS lines FROM p),
              x AS (SELECT k, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l),
-             c AS (SELECT host, trim(line, ' ') AS line, count(DISTINCT k) AS pages FROM x WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
+             c AS (SELECT host, regexp_replace(line, '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g') AS line, count(DISTINCT k) AS pages FROM x WHERE NOT regexp_full_match(line, '[ \t\r\n\f\v]*') GROUP BY 1, 2),
              d AS (SELECT c.host, c.line FROM c JOIN t USING (host) WHERE c.pages >= 5 AND c.pages / t.host_pages > 0.05),
              y AS (SELECT x.k, count(*) AS n_lines, count(d.line) AS n_dropped, coalesce(string_agg(CASE WHEN d.line IS NULL THEN x.line END, chr(10) ORDER BY x.i), '') AS text
-                   FROM x LEFT JOIN d ON x.host = d.host AND trim(x.line, ' ') = d.line GROUP BY 1)
+                   FROM x LEFT JOIN d ON x.host = d.host AND regexp_replace(x.line, '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g') = d.line GROUP BY 1)
         SELECT p.doc_id, p.host, CAST(y.n_lines AS INTEGER) AS n_lines, CAST(y.n_dropped AS INTEGER) AS n_dropped, CAST(length(y.text) AS BIGINT) AS n_chars_kept, sha256(y.text) AS text_sha256
         FROM p JOIN y USING (k)""",
     "op9_exact_dedup": """
