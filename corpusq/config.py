@@ -102,4 +102,10 @@ GENERIC_WORDS = "Software Technologies Technology Systems Industries Foods Brand
 NAME_SUFFIXES = "Inc Inc. Corp Corp. Corporation Co Co. Company Ltd Ltd. Limited plc PLC N.V. NV S.A. SA AG SE Holding Holdings Group LLC L.P. Sponsored ADR (The)".split()
 LEADING_WORDS = "why how what is are the shares stock stocks buy sell and of at for as like such including while both rival competitor competitors peer peers whereas but however meanwhile also so yet then now today here in on by with from".split()
 BARE_MIN_COUNT, LEARNED_MIN_CHARS = 2, 4
+#: Formal references, in order of trust: with an exchange, in round brackets, bare. Groups: 1 name, 2 tag, 3 symbol; the tag ends the match.
+FORMAL_PATTERNS = {
+    "tagged": r"(?:((?:[A-Z][\w.&'-]*\s+){0,4}?[A-Z][\w.&'-]*)\s*)?(\((?:NASDAQ|NYSE|NYSEARCA|NYSEAMERICAN|AMEX|OTC|TSX|LSE)\s*:\s*([A-Z]{1,5}(?:[.-][A-Z])?)\))",
+    "paren": r"((?:[A-Z][\w.&'-]*\s+){0,4}?[A-Z][\w.&'-]*)\s*(\(([A-Z]{2,5}(?:\.[A-Z])?)(?:,\s*[A-Z][\w ]{0,20})?\))",
+    "bare": r"((?:[A-Z][\w.&'-]*\s+){0,4}?[A-Z][\w.&'-]*)\s+(([A-Z]{2,5}))(?=\s+[a-z]|['’][s ]|[.,;:])",
+}
 STUB_NOTE = "Note: partial article (paywalled or teaser); treat as low-confidence."
