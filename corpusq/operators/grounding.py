@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from corpusq import config as C
 from corpusq.functions import sentences as S
 from corpusq.functions import text as T
 
 BULLET = r"(?U)^(\s*(?:[-*]|\d+\.)\s+)"
-_LEADING = re.compile(r"^((?:\s*\[\d+\])+)\s*")
-
+_BREAK, _CITED = "\x01", r"(?:\s*\[\d+\])+"
 
-def split_line(line: str) -> list[str]:
-    """Sentences of a line; citations at a sentence's start go back to the sentence before."""
-    out: list[str] = []
-    for s in S.split(line):
-        m = _LEADING.match(s)
-        if m and out:
-            out[-1] += " " + m.group(1).strip()
-            s = s[m.end() :]
-        if s.strip():
-            out.append(s.strip())
-    return out
 
+def line_sentences(line: Column) -> Column:
+    """Sentences of a line (array<string>); citations at a sentence's start belong to the sentence before.
 
-@F.pandas_udf(ArrayType(StringType()))
-def _split_line(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: split_line(x or ""))
+    The sentences stand in one string with a mark between any two: a mark in front of nothing but citations
+    becomes a space, and a mark in front of citations and words moves behind the citations.
+    """
+    whole = F.array_join(S.sentences(line), _BREAK)
+    joined = F.regexp_replace(whole, rf"{_BREAK}(?={_CITED}\s*(?:{_BREAK}|$))", " ")
+    moved = F.regexp_replace(joined, rf"{_BREAK}\s*({_CITED})\s*", rf" $1{_BREAK}")
+    return F.filter(F.transform(F.split(moved, _BREAK), F.trim), lambda s: s != "")
 
 
 def answer_sentences(answers: DataFrame) -> DataFrame:
@@ -40,7 +30,7 @@ def answer_sentences(answers: DataFrame) -> DataFrame:
     folded = F.regexp_replace(T.fold_punctuation(F.col("text")), r"\r\n?", "\n")
     lines = answers.select("answer_id", F.posexplode(F.split(folded, "\n")).alias("line_no", "line"))
     parts = lines.select("answer_id", "line_no", F.regexp_extract("line", BULLET, 1).alias("prefix"), (F.trim("line") == "").alias("blank"), F.regexp_replace("line", BULLET, "").alias("body"))
-    return parts.select("answer_id", "line_no", "prefix", "blank", F.posexplode_outer(_split_line("body")).alias("sentence_no", "sentence"))
+    return parts.select("answer_id", "line_no", "prefix", "blank", F.posexplode_outer(line_sentences(F.col("body"))).alias("sentence_no", "sentence"))
 
 
 def source_quantities(sources: DataFrame) -> DataFrame:
@@ -65,7 +55,7 @@ def check_sentences(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def verify(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """answer_id, text (kept sentences, bullets and paragraph breaks), cited_numbers (by first use), removed.
+    """answer_id, text (kept sentences, bullets and paragraph breaks), cited_numbers (in order), removed.
 
     Sentences are regrouped by answer; an answer is a small group.
     """
@@ -83,7 +73,7 @@ def verify(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return whole.select(
         "answer_id",
         F.regexp_replace(F.regexp_replace(F.array_join(shown, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("text"),
-        F.array_distinct(F.flatten(F.transform("lines", lambda x: x["cited"]))).alias("cited_numbers"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["cited"])))).alias("cited_numbers"),
         F.flatten(F.transform("lines", lambda x: F.transform(x["gone"], lambda g: F.struct(g["sentence"].alias("sentence"), g["reason"].alias("reason"))))).alias("removed"),
     )
 
