@@ -12,7 +12,7 @@ from corpusq import config as C
 
 _NUM = r"(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?"
 _UNIT = r"(?:(\s*%|\s*(?i:per\s?cent)\b)|\s*((?i:trillion|billion|million|thousand|tn|bn|mn))\b|([TBMK])\b)"
-#: Groups: 1 whole digits, 2 decimals, 3-5 own unit, 6-8 the unit of the other end of a range.
+# --- Fixed value: a figure with its unit. Groups: 1 whole digits, 2 decimals, 3-5 own unit, 6-8 the unit of the other end of a range. ---
 QUANTITY = rf"(?U)(?<![\w.]){_NUM}{_UNIT}?(?:(?<!%)(?=\s*(?:-|to)\s*(?<![\w.])(?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d+)?{_UNIT}))?"
 
 
@@ -126,6 +126,12 @@ def shingle_set(text: Column, n: int = C.SHINGLE) -> Column:
     return let(words(text), lambda w: F.when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(runs(w)))
 
 
+def shingle_hashes(text: Column, n: int = C.SHINGLE) -> Column:
+    """The same set as 64-bit hashes, which array functions compare without boxing."""
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n))))
+    return let(words(text), lambda w: F.when(F.size(w) < n, F.array(F.xxhash64(w))).otherwise(runs(w)))
+
+
 def without_references(text: Column) -> Column:
     """Folded text without [n] marks and wording such as ``sources 1 and 4``."""
     return F.regexp_replace(F.regexp_replace(fold_punctuation(text), r"\[\d+\]", " "), r"(?iU)\bsources? \d+(?:\s*(?:,|and|&)\s*\d+)*", " ")

@@ -3,50 +3,88 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq import config as C
-from corpusq.functions.text import jaccard, shingle_set, title_tokens, word_count
+from corpusq.functions.text import jaccard, shingle_hashes, title_tokens, word_count
+
+#: Parts that rows without a title are dealt into where they must meet each other.
+SALTS = 16
+
+
+def is_update(title: Column) -> Column:
+    return title.rlike(r"(?i)^\s*update:")
 
 
 def merge_by_link(articles: DataFrame) -> DataFrame:
-    """One row per link: the preferred copy at the first copy's place, with all keys and copies counted.
+    """One row per link: the preferred copy at the first copy's place, with copies counted and all keys in order.
 
-    Input: seq, title, link, ticker, text. More words win, then an ``Update:`` title, then the earlier row.
-    Map-side aggregation (a maximum of structs) keeps a link with very many copies to one row per task.
+    Input: seq, title, link, ticker, text. More words win, then an ``Update:`` title, then the earlier row. The
+    order of source_keys is that of merging copy by copy: the kept one's keys, then the dropped one's.
+    Map-side aggregation (a maximum of structs; the first row of each key, length and kind of title) keeps a link
+    with very many copies to a few rows per task.
     """
-    rank = F.struct(word_count(F.col("text")).alias("words"), F.col("title").rlike(r"(?i)^\s*update:").alias("update"), (-F.col("seq")).alias("early"))
-    best = F.max_by(F.struct("title", "ticker", "text", "seq"), rank)
-    out = articles.groupBy("link").agg(best.alias("b"), F.min("seq").alias("seq"), F.count(F.lit(1)).alias("copies"), F.sort_array(F.collect_set("ticker")).alias("source_keys"))
-    return out.select("seq", "link", F.col("b.title").alias("title"), F.col("b.text").alias("text"), F.col("b.seq").alias("kept_seq"), "copies", "source_keys")
+    rows = articles.withColumn("words", word_count(F.col("text"))).withColumn("update", is_update(F.col("title")))
+    best = F.max_by(F.struct("title", "ticker", "text", "seq"), F.struct("words", "update", (-F.col("seq")).alias("early")))
+    kept = rows.groupBy("link").agg(best.alias("b"), F.min("seq").alias("seq"), F.count(F.lit(1)).alias("copies"))
+    first = rows.groupBy("link", "ticker", "words", "update").agg(F.min("seq").alias("seq"))
+    steps = first.groupBy("link").agg(F.array_sort(F.collect_list(F.struct("seq", "words", "update", "ticker"))).alias("steps"))
 
+    def step(acc: Column, x: Column) -> Column:
+        wins = (x["words"] > acc["words"]) | ((x["words"] == acc["words"]) & x["update"] & ~acc["update"])
+        keys = F.array_distinct(F.when(wins, F.concat(F.array(x["ticker"]), acc["keys"])).otherwise(F.concat(acc["keys"], F.array(x["ticker"]))))
+        return F.struct(F.when(wins, x["words"]).otherwise(acc["words"]).alias("words"), F.when(wins, x["update"]).otherwise(acc["update"]).alias("update"), keys.alias("keys"))
 
-def title_candidates(articles: DataFrame, threshold: float = C.TITLE_JACCARD) -> DataFrame:
-    """Pairs a < b (by seq) whose title tokens have a Jaccard similarity of at least the threshold.
+    start = F.struct(F.lit(-1).alias("words"), F.lit(False).alias("update"), F.array().cast("array<string>").alias("keys"))
+    keys = F.filter(F.aggregate("steps", start, step, lambda acc: acc["keys"]), lambda k: k.isNotNull())
+    return kept.join(steps, "link").select("seq", "link", F.col("b.title").alias("title"), F.col("b.text").alias("text"), F.col("b.seq").alias("kept_seq"), "copies", keys.alias("source_keys"))
 
-    Lossless prefix filter: tokens are ordered from rare to frequent and a pair must share one of the first
-    n - ceil(t n) + 1 of each, so frequent words join nothing. Titles without tokens pair among themselves.
+
+def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """a < b of sets (seq, items) that can have a Jaccard similarity of at least the threshold; no such pair is missing.
+
+    Lossless prefix filter: items are ordered from rare to frequent and a pair must share one of the first
+    n - ceil(t n) + 1 of each, so frequent items join nothing. Empty sets pair with none.
     """
-    tokens = articles.select("seq", title_tokens(F.col("title")).alias("tokens"))
-    each = tokens.select("seq", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("seq").orderBy("df", "token")
-    prefix = each.join(df, "token").withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
-    a, b = prefix.select("token", F.col("seq").alias("a"), F.col("n").alias("na")), prefix.select("token", F.col("seq").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    empty = tokens.where(F.size("tokens") == 0).select("seq", F.size("tokens").alias("none"))
-    empties = empty.select(F.col("seq").alias("a"), "none").join(empty.select(F.col("seq").alias("b"), "none"), "none").where(F.col("a") < F.col("b")).select("a", "b")
-    ta, tb = tokens.select(F.col("seq").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("seq").alias("b"), F.col("tokens").alias("tb"))
-    return near.union(empties).join(ta, "a").join(tb, "b").withColumn("title_similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("title_similarity") >= threshold).select("a", "b", "title_similarity")
+    each = sets.select("seq", F.size("items").alias("n"), F.explode("items").alias("item"))
+    df = each.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("seq").orderBy("df", "item")
+    prefix = each.join(df.where("df > 1"), "item", "left").withColumn("at", F.row_number().over(w)).where(F.col("df").isNotNull() & (F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1))
+    a, b = (prefix.select("item", F.col("seq").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    return a.join(b, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+
+
+def title_candidates(articles: DataFrame, threshold: float = C.TITLE_JACCARD, body: float = C.BODY_JACCARD, n: int = C.SHINGLE) -> DataFrame:
+    """a < b (by seq), title_similarity of pairs whose titles are alike enough.
+
+    Titles without tokens are alike among themselves; of these pairs only the ones that can pass the check of
+    bodies are listed: those with a stub, and those whose bodies share a prefix of their shingles.
+    """
+    tokens = articles.select("seq", title_tokens(F.col("title")).alias("items"))
+    near = set_pairs(tokens, threshold)
+    ta, tb = (tokens.select(F.col("seq").alias(x), F.col("items").alias(f"t{x}")) for x in "ab")
+    titled = near.join(ta, "a").join(tb, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("title_similarity")).where(F.col("title_similarity") >= threshold)
+    bare = articles.where(F.size(title_tokens(F.col("title"))) == 0)
+    stubs = bare.where("is_stub").select(F.col("seq").alias("a"), F.pmod(F.xxhash64("seq"), F.lit(SALTS)).alias("salt"))
+    others = bare.select(F.col("seq").alias("b"), "is_stub", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    met = stubs.join(others, "salt").where((F.col("a") != F.col("b")) & (~F.col("is_stub") | (F.col("a") < F.col("b"))))
+    with_stub = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    full = set_pairs(bare.where("not is_stub").select("seq", shingle_hashes(F.col("text"), n).alias("items")), body)
+    return titled.unionByName(with_stub.unionByName(full).withColumn("title_similarity", F.lit(1.0)))
 
 
 def near_pairs(articles: DataFrame, title: float = C.TITLE_JACCARD, body: float = C.BODY_JACCARD, n: int = C.SHINGLE) -> DataFrame:
-    """a, b, title_similarity, body_similarity (null if either is a stub, which needs the title only)."""
-    pairs = title_candidates(articles, title)
-    bodies = articles.select("seq", "is_stub", shingle_set(F.col("text"), n).alias("s"))
-    a, b = (bodies.select(F.col("seq").alias(x), F.col("is_stub").alias(f"stub_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-    full = pairs.join(a, "a").join(b, "b").withColumn("body_similarity", F.when(~(F.col("stub_a") | F.col("stub_b")), F.round(jaccard(F.col("s_a"), F.col("s_b")), 6)))
+    """a, b, title_similarity, body_similarity (null if either is a stub, which needs the title only).
+
+    Only bodies of candidate pairs are shingled, once each; shingles are 64-bit hashes.
+    """
+    pairs = title_candidates(articles, title, body, n)
+    wanted = pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct()
+    bodies = articles.where("not is_stub").join(wanted, "seq", "left_semi").select("seq", shingle_hashes(F.col("text"), n).alias("s"))
+    a, b = (bodies.select(F.col("seq").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    alike = F.round(jaccard(F.col("sa"), F.col("sb")), 6)
+    full = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("body_similarity", F.when(F.col("sa").isNotNull() & F.col("sb").isNotNull(), alike))
     return full.where(F.col("body_similarity").isNull() | (F.col("body_similarity") >= body)).select("a", "b", F.round("title_similarity", 6).alias("title_similarity"), "body_similarity")
 
 
@@ -65,25 +103,35 @@ def components(pairs: DataFrame, checkpoint) -> DataFrame:
 
 
 def greedy_survivors(articles: DataFrame, pairs: DataFrame, checkpoint) -> DataFrame:
-    """seq, merged_into (itself if it survives), from replaying pairs in (a, b) order among live rows.
+    """seq, merged_into (the survivor at the end of its chain, itself if it survives), place among the survivor's rows.
 
-    Whether two rows are alike never changes, so only pairs matter: rows without one survive, the rest are
-    replayed per connected part, on ids and ranks alone.
+    Pairs are replayed in (a, b) order among live rows. Whether two rows are alike never changes, so only pairs
+    matter: rows without one survive, the rest are replayed per connected part, on ids and ranks alone. The rows of a
+    survivor have the order of merging: those of the kept row, then those of the dropped one.
     """
-    rank = articles.select("seq", word_count(F.col("text")).alias("words"), F.col("title").rlike(r"(?i)^\s*update:").alias("upd"))
+    rank = articles.select("seq", word_count(F.col("text")).alias("words"), is_update(F.col("title")).alias("upd"))
     roots = components(pairs, checkpoint)
     a, b = (rank.select(F.col("seq").alias(x), F.col("words").alias(f"w{x}"), F.col("upd").alias(f"u{x}")) for x in "ab")
     work = pairs.select("a", "b").join(a, "a").join(b, "b").join(roots.withColumnRenamed("seq", "a"), "a")
 
     def replay(t: pd.DataFrame) -> pd.DataFrame:
-        into: dict[int, int] = {}
+        rows = {int(s): [int(s)] for s in {*t["a"], *t["b"]}}  # of each live row, in order
         for r in t.sort_values(["a", "b"]).itertuples():
-            if r.a in into or r.b in into:
-                continue
-            second = r.wb > r.wa or (r.wa == r.wb and r.ub and not r.ua)
-            keep, drop = (r.b, r.a) if second else (r.a, r.b)
-            into[drop] = keep
-        return pd.DataFrame({"seq": list(into), "merged_into": list(into.values())}, dtype="int64")
-
-    dropped = work.groupBy("root").applyInPandas(replay, "seq long, merged_into long")
-    return articles.select("seq").join(dropped, "seq", "left").select("seq", F.coalesce("merged_into", "seq").alias("merged_into"))
+            if r.a in rows and r.b in rows:
+                second = r.wb > r.wa or (r.wa == r.wb and r.ub and not r.ua)
+                keep, drop = (r.b, r.a) if second else (r.a, r.b)
+                rows[keep] += rows.pop(drop)
+        out = [(s, keep, i) for keep, own in rows.items() for i, s in enumerate(own)]
+        return pd.DataFrame(out, columns=["seq", "merged_into", "place"])
+
+    replayed = work.groupBy("root").applyInPandas(replay, "seq long, merged_into long, place int")
+    return articles.select("seq").join(replayed, "seq", "left").select("seq", F.coalesce("merged_into", "seq").alias("merged_into"), F.coalesce("place", F.lit(0)).alias("place"))
+
+
+def merge_near(articles: DataFrame, survivors: DataFrame) -> DataFrame:
+    """The survivors (seq, link, source_keys and more) with the keys of all merged rows and merged_links, both in the order of merging."""
+    rows = survivors.join(articles.select("seq", "link", "source_keys"), "seq")
+    got = rows.groupBy(F.col("merged_into").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("place", "link", "source_keys"))).alias("rows"))
+    keys = F.array_distinct(F.flatten(F.transform("rows", lambda r: r["source_keys"])))
+    links = F.array_distinct(F.transform("rows", lambda r: r["link"]))
+    return articles.drop("source_keys").join(got, "seq").select("*", keys.alias("source_keys"), F.array_remove(links, F.col("link")).alias("merged_links")).drop("rows")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import sentences as S
 from corpusq.functions import text as T
+from corpusq.functions.lineage import checkpoint
 from corpusq.operators import chunking, cleaning, dedup, index, mentions, relevance, stubs
 from corpusq.sources import feeds
 
@@ -21,13 +22,11 @@ def clean_and_flag(raw: DataFrame) -> DataFrame:
 
 
 def merge(cleaned: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One article per story: by link, then near-duplicates; keys of dropped copies join their survivor's."""
-    flags = cleaned.groupBy("link").agg(F.max_by("is_stub", F.struct(T.word_count(F.col("text")), F.col("title").rlike(r"(?i)^\s*update:"), -F.col("seq"))).alias("is_stub"))
+    """One article per story: by link, then near-duplicates; keys and links of dropped copies join their survivor's."""
+    flags = cleaned.groupBy("link").agg(F.max_by("is_stub", F.struct(T.word_count(F.col("text")), dedup.is_update(F.col("title")), -F.col("seq"))).alias("is_stub"))
     unique = checkpoint(dedup.merge_by_link(cleaned).join(flags, "link"))
-    into = dedup.greedy_survivors(unique, checkpoint(dedup.near_pairs(unique)), checkpoint)
-    merged = unique.join(into, "seq")
-    keys = merged.groupBy(F.col("merged_into").alias("seq")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_keys")))).alias("keys"), F.array_sort(F.collect_list(F.when(F.col("seq") != F.col("merged_into"), F.col("link")))).alias("merged_links"))
-    return unique.join(keys, "seq").select("seq", T.article_id(F.col("link")).alias("article_id"), "link", "title", "text", "is_stub", F.col("keys").alias("source_keys"), "merged_links")
+    survivors = dedup.greedy_survivors(unique, checkpoint(dedup.near_pairs(unique)), checkpoint)
+    return dedup.merge_near(unique, survivors).select("seq", T.article_id(F.col("link")).alias("article_id"), "link", "title", "text", "is_stub", "source_keys", "merged_links")
 
 
 def enrich(articles: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -70,8 +69,6 @@ def build(raw: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataF
 
 def main(argv: list[str]) -> None:
     """offline FEED INDEX: index a feed, print the report of the sync."""
-    from corpusq.queries import checkpoint
-
     feed, path = argv
     spark = SparkSession.builder.getOrCreate()
     rows = checkpoint(build(feeds.read_feed(spark, feed), checkpoint))

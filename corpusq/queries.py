@@ -101,8 +101,10 @@ def company_first(spark, d):
 @query(f"""
     WITH a AS {ARTICLES}, r AS (SELECT *, {WORDS.format('text')} AS words, regexp_matches(title, '(?i)^\\s*update:') AS upd FROM a),
          b AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY words DESC, upd DESC, seq) AS r FROM r),
-         g AS (SELECT link, min(seq) AS seq, count(*) AS copies, array_to_string(list_sort(list_distinct(list(ticker))), ',') AS source_keys FROM a GROUP BY 1)
-    SELECT g.seq, b.seq AS kept_seq, g.copies, g.source_keys FROM g JOIN b USING (link) WHERE b.r = 1""")
+         m AS (SELECT *, max(words * 2 + upd::INT) OVER (PARTITION BY link ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r),
+         k AS (SELECT link, ticker, min(CASE WHEN best IS NULL OR words * 2 + upd::INT > best THEN -seq ELSE seq + 1000000000000 END) AS place FROM m WHERE ticker IS NOT NULL GROUP BY 1, 2),
+         s AS (SELECT link, string_agg(ticker, ',' ORDER BY place) AS source_keys FROM k GROUP BY 1), g AS (SELECT link, min(seq) AS seq, count(*) AS copies FROM a GROUP BY 1)
+    SELECT g.seq, b.seq AS kept_seq, g.copies, coalesce(s.source_keys, '') AS source_keys FROM g JOIN b USING (link) LEFT JOIN s USING (link) WHERE b.r = 1""")
 def exact_dedup_keep_best(spark, d):
     return dedup.merge_by_link(articles(spark, d)).select("seq", "kept_seq", "copies", F.array_join("source_keys", ",").alias("source_keys"))
 
@@ -121,7 +123,7 @@ def _unique(spark, d):
          c AS (SELECT a, b, round(ts, 6) AS title_similarity, CASE WHEN NOT stub THEN round(len(list_intersect(xs, ys)) / (len(xs) + len(ys) - len(list_intersect(xs, ys))), 6) END AS body_similarity FROM p WHERE ts >= 0.8)
     SELECT * FROM c WHERE body_similarity IS NULL OR body_similarity >= 0.6""")
 def near_dup_pairs(spark, d):
-    return dedup.near_pairs(_unique(spark, d))
+    return dedup.near_pairs(checkpoint(_unique(spark, d).select("seq", "title", "text", "is_stub")))
 
 
 @query()
@@ -130,6 +132,13 @@ def greedy_near_dup_survivors(spark, d):
     return dedup.greedy_survivors(a, checkpoint(dedup.near_pairs(a)), checkpoint)
 
 
+@query()
+def dedup_provenance(spark, d):
+    a = checkpoint(_unique(spark, d))
+    kept = dedup.merge_near(a, dedup.greedy_survivors(a, checkpoint(dedup.near_pairs(a)), checkpoint))
+    return kept.select("seq", "link", F.array_join("source_keys", ",").alias("source_keys"), F.array_join("merged_links", ",").alias("merged_links"))
+
+
 _FOLDS = C.QUOTES | C.DASHES | C.SPACES
 
 
