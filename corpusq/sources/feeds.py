@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
@@ -17,15 +17,28 @@ def parse_feed(json: Column) -> Column:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Raw articles of a feed {key: [{title, link, ticker?, full_text}]}: seq, title, link, ticker, text.
+    """Raw articles of a feed {key: [{title, link, ticker?, full_text}]}: file, seq, title, link, ticker, text.
 
-    Duplicates and file order stay (seq); a missing ticker is the key. A feed file is one JSON object, so it is
-    read whole; many files are read side by side, and seq then orders entries within a file.
+    Duplicates stay, and seq keeps the order: files by name, groups and entries as they stand. A missing ticker is the
+    key. A feed file is one JSON object, so it is read whole; many files are read side by side. Large feeds
+    belong in JSON lines (:func:`read_feed_lines`), which split.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), parse_feed(F.col("value")).alias("feed"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), parse_feed(F.col("value")).alias("feed"))
+    names = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file")).distinct()  # one row a file
+    ranks = names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("rank"))
     groups = whole.select("file", F.posexplode(F.map_entries("feed")).alias("g", "group"))
-    rows = groups.select("file", "g", F.col("group.key").alias("key"), F.posexplode("group.value").alias("e", "x"))
-    return rows.select("file", (F.col("g").cast("long") * 2**32 + F.col("e")).alias("seq"), "x.title", "x.link", F.coalesce("x.ticker", "key").alias("ticker"), F.col("x.full_text").alias("text"))
+    rows = groups.select("file", "g", F.col("group.key").alias("key"), F.posexplode("group.value").alias("e", "x")).join(ranks, "file")
+    seq = F.shiftleft("rank", 44) + F.shiftleft(F.col("g").cast("long"), 28) + F.col("e")
+    return rows.select("file", seq.alias("seq"), "x.title", "x.link", F.coalesce("x.ticker", "key").alias("ticker"), F.col("x.full_text").alias("text"))
+
+
+def read_feed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Raw articles of JSON lines {key?, title, link, ticker?, full_text}: file, seq, title, link, ticker, text.
+
+    Files split, so a large one is many tasks; seq keeps the order of splits and of lines in them.
+    """
+    rows = spark.read.schema(StructType([StructField("key", StringType()), *ENTRY.fields])).json(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), "title", "link", F.coalesce("ticker", "key").alias("ticker"), F.col("full_text").alias("text"))
 
 
 def read_table(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
