@@ -89,7 +89,7 @@ def test_stubs(spark):
 
 # --- Cleaning -----------------------------------------------------------------------------------------------------
 def noise(text, title=""):
-    return cleaning.remove_noise(text, title, cleaning.rules())
+    return cleaning.remove_noise(text, title, cleaning.compiled())
 
 
 def test_noise_rules():
@@ -103,15 +103,16 @@ def test_noise_rules():
     assert noise("Up 5% (read more: Is It Over?). Then it fell.")[0] == "Up 5%  . Then it fell."
     assert "555" not in noise("Call 212-555-0100 now.")[0] and noise("Sales were 1,212-555 units")[0] == "Sales were 1,212-555 units"
     assert "Rank" in noise("A Zacks Rank #3 (Hold) stock")[0]
-    assert "Rank" not in cleaning.remove_noise("A Zacks Rank #3 (Hold) stock", "", cleaning.rules(False))[0]
+    assert "Rank" not in cleaning.remove_noise("A Zacks Rank #3 (Hold) stock", "", cleaning.compiled(False))[0]
 
 
 def test_promo_blocks_end_where_prose_begins():
     text = "Trending: Five Hot Chips To Buy Now The company said it would grow."
-    assert text[cleaning.promo_end(text, len("Trending:")) :] == "The company said it would grow."
-    assert cleaning.promo_end("x:", 2) == 2 and cleaning.cut("abcdef", [(1, 3), (2, 4)]) == ("a ef", 3)
+    assert text[cleaning.Prose(text).promo_end(len("Trending:")) :] == "The company said it would grow."
+    assert cleaning.Prose("x:").promo_end(2) == 2 and cleaning.without("abcdef", cleaning.islands([(2, 4), (1, 3)])) == "a ef"
+    assert cleaning.islands([(5, 5), (0, 2), (2, 3), (8, 9)]).tolist() == [[0, 3], [5, 5], [8, 9]] and cleaning.without("ab", cleaning.islands([])) == "ab"
     words = "x: " + "Word " * 100
-    assert words[2 : cleaning.promo_end(words, 2)].split() == ["Word"] * 60
+    assert words[2 : cleaning.Prose(words).promo_end(2)].split() == ["Word"] * 60
 
 
 def test_encoding_repair():
@@ -141,7 +142,7 @@ def articles(spark, rows):
 def test_merge_by_link(spark):
     a = articles(spark, [(0, "T", "l", "A", "one two", False), (1, "T", "l", "B", "one two three", False), (2, "Update: T", "m", "C", "x y", False), (3, "T", "m", "A", "x y", False)])
     got = {r.link: r for r in dedup.merge_by_link(a).collect()}
-    assert got["l"].seq == 0 and got["l"].kept_seq == 1 and got["l"].source_keys == ["A", "B"] and got["m"].kept_seq == 2 and got["m"].copies == 2
+    assert got["l"].seq == 0 and got["l"].kept_seq == 1 and got["l"].source_keys == ["B", "A"] and got["m"].kept_seq == 2 and got["m"].copies == 2
 
 
 def test_near_duplicates(spark):
@@ -154,6 +155,42 @@ def test_near_duplicates(spark):
     assert into == {0: 1, 1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5}
 
 
+def test_merging_follows_chains_and_keeps_order(spark):
+    """Three versions of a story, each longer than the one before: the last one stays alone, with the others' keys and links."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, "Intel shares jump", f"l{i}", f"K{i}", " ".join(words[: 90 + 3 * i]), False) for i in range(3)] + [(3, "Other title entirely here", "x", "A", "unlike", True)]
+    a = dedup.merge_by_link(articles(spark, rows)).withColumn("is_stub", F.col("link") == "x")
+    kept = dedup.merge_near(a, dedup.greedy_survivors(a, dedup.near_pairs(a), checkpoint)).collect()
+    assert {(r.seq, tuple(r.source_keys), tuple(r.merged_links)) for r in kept} == {(2, ("K2", "K1", "K0"), ("l1", "l0")), (3, ("A",), ())}
+
+
+def test_source_keys_keep_the_order_of_merging(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, r.choice(["T", "Update: T"]), f"l{r.randrange(4)}", r.choice("ABCDE"), " ".join(["w"] * r.randrange(1, 5)), False) for i in range(60)]
+    want = {}
+    for _, title, link, key, text, _ in rows:
+        size, keys = (len(text.split()), title.startswith("Update")), [key]
+        old, old_keys = want.get(link, ((-1, False), []))
+        wins = size[0] > old[0] or (size[0] == old[0] and size[1] and not old[1])
+        want[link] = (size, list(dict.fromkeys(keys + old_keys))) if wins else (old, list(dict.fromkeys(old_keys + keys)))
+    got = {x.link: x.source_keys for x in dedup.merge_by_link(articles(spark, rows)).collect()}
+    assert got == {k: v for k, (_, v) in want.items()}
+
+
+def test_untitled_articles_pair_as_brute_force_says(spark):
+    import random
+
+    r = random.Random(7)
+    base = [f"v{i}" for i in range(30)]
+    texts = [" ".join(w if r.random() > 0.04 else "edit" for w in base) for _ in range(14)] + ["p", "q"]
+    rows = [(i, "!!", f"l{i}", "A", t, i >= 12) for i, t in enumerate(texts)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    want = {(i, j) for j in range(16) for i in range(j) if j >= 12 or i >= 12 or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6}
+    assert {(x.a, x.b) for x in dedup.near_pairs(articles(spark, rows)).collect()} == want
+
+
 def test_near_dup_plan_has_no_cartesian_product(spark):
     a = articles(spark, [(0, "x y", "a", "A", "t", False)])
     near = dedup.title_candidates(a)
@@ -166,14 +203,27 @@ def tickers(found):
     return [m.ticker for m in found]
 
 
-def test_mentions():
-    f = mentions.Finder()
-    _, body, learned = f.find("", "Shares of CyberArk Software Inc. (CYBR) rose. CyberArk beat NVIDIA; the iPhone and (NLP) natural language processing (NLP).")
-    assert tickers(body) == ["CYBR", "CYBR", "CYBR", "NVDA", "AAPL"] or "CYBR" in tickers(body)
-    assert learned == {"CyberArk Software": "CYBR", "CyberArk": "CYBR"} and "NLP" not in tickers(body)
-    head, body, _ = f.find("Intel and amd", "Intel (NASDAQ:INTC) and Walmart (NYSE: WMT)")
+def found(spark, title, text):
+    r = mentions.find_mentions(spark.createDataFrame([(1, title, text)], "article_id int, title string, text string")).first()
+    return r.title_mentions, r.body_mentions, r.learned_names
+
+
+def test_mentions(spark):
+    text = "Shares of CyberArk Software Inc. (CYBR) rose. CyberArk beat NVIDIA; the iPhone and (NLP) natural language processing (NLP)."
+    _, body, learned = found(spark, "", text)
+    assert [(m.ticker, text[m.start : m.end], m.form, m.tagged) for m in body] == [("CYBR", "CyberArk Software", "name", False), ("CYBR", "(CYBR)", "ticker", True), ("CYBR", "CyberArk", "name", False), ("NVDA", "NVIDIA", "name", False), ("AAPL", "iPhone", "product", False)]
+    assert learned == {"CyberArk Software": "CYBR", "CyberArk": "CYBR"}
+    head, body, _ = found(spark, "Intel and amd", "Intel (NASDAQ:INTC) and Walmart (NYSE: WMT)")
     assert tickers(head) == ["INTC", "AMD"] and [(m.ticker, m.tagged) for m in body if m.tagged] == [("INTC", True), ("WMT", True)]
-    assert mentions.resolve([mentions._M("A", 0, 5, "name"), mentions._M("B", 2, 8, "ticker", True)])[0].ticker == "B"
+    _, body, learned = found(spark, "", "Deep Ultra Violet (DUV) and Zed Corp ZZZ shares, then Yam YYY fell. Our Big Model (OBM) works.")
+    assert tickers(body) == ["ZZZ"] and learned == {}  # "Zed" is too short to learn, YYY neither recurs nor follows a legal form
+    assert found(spark, "", "")[1] == []
+
+
+def test_overlapping_mentions(spark):
+    kind = mentions.MENTION.replace("struct<", "array<struct<", 1) + ">"
+    df = spark.createDataFrame([([("A", 0, 5, "name", False), ("B", 2, 8, "ticker", True), ("C", 8, 9, "name", False), ("D", 8, 12, "name", False)],)], f"m {kind}")
+    assert [m.ticker for m in df.select(mentions.resolve(F.col("m")).alias("m")).first().m] == ["B", "D"]
 
 
 def test_question_mentions_ignore_products(spark):
