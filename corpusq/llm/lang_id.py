@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.partitions import spread
@@ -250,12 +250,13 @@ def too_strange(m: Model, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return h.min(1) > m.reject_above[best] + m.spread[best] / np.sqrt(np.maximum(n, 1))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, order: int = 5) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600, max_words: int = 60_000, order: int = 5) -> Model:
     """Fit on a sample of labelled rows outside the held-out fold.
 
-    The bound is a parameter: about ``per_lang`` whole documents of each language (by a hash of the id, all if there
-    are fewer), however long, so the work does not grow with the corpus. A fifth of the sample (by hash) calibrates;
-    executors count the words of the rest, and one task makes the model of the counts. Only the model and the
+    The bounds are parameters: about ``per_lang`` whole documents of each language (by a hash of the id, all if there
+    are fewer), however long, and of their words the ``max_words`` most frequent ones of each language, so neither
+    work nor memory grows with the corpus. A fifth of the sample (by hash) calibrates; executors count the words
+    of the rest, and one task makes the model of the counts. Only the model and the
     cross-entropies of the calibration texts reach the driver. Null texts and null languages teach nothing;
     without labelled rows the only language is ``und``.
     """
@@ -287,6 +288,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_counts(counts, order))], pa.binary())], ["model"])
 
     words = sample.where(~calibrates).select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    most = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    words = words.withColumn("place", most).where(F.col("place") <= max_words).select("lang", "word", "n")
     m: Model = pickle.loads(words.coalesce(1).mapInArrow(make, "model binary").first()["model"])
     shared = docs.sparkSession.sparkContext.broadcast(m)
 

@@ -26,7 +26,7 @@ from corpusq.llm.common import Words, checkpoint, mix64, ship
 from corpusq.llm.sp_fst import _spans
 
 #: Parts of white-space-separated chunks whose ids a worker remembers (about 200 bytes each); a full memory starts anew.
-MEMORY = 500_000
+MEMORY = 250_000
 PARTS = regex.compile(r"\p{L}+|\P{L}+")
 #: What keeps a chunk whole: apostrophes, special marks, other scripts (from U+0240 on) and a letter that grows in lower case.
 ODD = re.compile(rb"['<\xc9-\xff]|\xc4\xb0")
