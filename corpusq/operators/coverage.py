@@ -46,3 +46,10 @@ def notice(report: DataFrame) -> DataFrame:
         .when(F.col("level") == "none", F.concat(F.lit("None of the articles in this dataset mention "), c, F.lit(".")))
     )
     return report.withColumn("notice", text)
+
+
+def guidance(report: DataFrame) -> DataFrame:
+    """What the model is told about a company (column company) of which little is known; null where coverage is full."""
+    c = F.col("company")
+    text = F.concat(F.lit("Coverage of "), c, F.lit(" is thin. Summarise only what the sources actually say about "), c, F.lit("; ignore their content about other companies. Do not pad the answer with loosely related material, and it is fine for the answer to be short."))
+    return report.withColumn("guidance", F.when(F.col("level") != "full", text))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions import text as T
-from corpusq.operators.grounding import answer_sentences
+from corpusq.operators.grounding import answer_lines, answer_sentences
 
 MIN_QUOTE = 20
 
@@ -134,7 +134,7 @@ def judged_sentences(answers: DataFrame, sources: DataFrame, fixed: list[str]) -
     for m in fixed:
         text = F.replace(text, F.lit(m), F.lit(""))
     known = sources.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "text"))).alias("known"))
-    rows = answer_sentences(answers.withColumn("text", text)).where("sentence is not null").join(known, "answer_id", "left")
+    rows = answer_sentences(answer_lines(answers.withColumn("text", text))).where("sentence is not null").join(known, "answer_id", "left")
     cited = F.array_distinct(T.citations(F.col("sentence")))
     rows = rows.withColumn("cited", cited).withColumn("cited_texts", F.transform("cited", lambda n: F.try_element_at("known", n)))
     unknown = F.exists("cited_texts", lambda t: t.isNull())
@@ -162,7 +162,7 @@ def stated_valuations(answers: DataFrame, terms: list[str]) -> DataFrame:
     named = F.lit(False)
     for t in terms:
         named = named | F.contains(F.lower("sentence"), F.lit(t.lower()))
-    return answer_sentences(answers).where("sentence is not null").where(named & (F.size(T.quantities(F.col("sentence"))) > 0)).select("answer_id", "sentence")
+    return answer_sentences(answer_lines(answers)).where("sentence is not null").where(named & (F.size(T.quantities(F.col("sentence"))) > 0)).select("answer_id", "sentence")
 
 
 def exchange_tags(text: Column) -> Column:

@@ -25,11 +25,16 @@ def line_sentences(line: Column) -> Column:
     return F.filter(F.transform(F.split(moved, _BREAK), F.trim), lambda s: s != "")
 
 
-def answer_sentences(answers: DataFrame) -> DataFrame:
-    """answer_id, line_no, prefix (bullet), blank, sentence_no (null in blank lines), sentence. Answers: answer_id, text."""
-    folded = F.regexp_replace(T.fold_punctuation(F.col("text")), r"\r\n?", "\n")
-    lines = answers.select("answer_id", F.posexplode(F.split(folded, "\n")).alias("line_no", "line"))
-    parts = lines.select("answer_id", "line_no", F.regexp_extract("line", BULLET, 1).alias("prefix"), (F.trim("line") == "").alias("blank"), F.regexp_replace("line", BULLET, "").alias("body"))
+def answer_lines(answers: DataFrame) -> DataFrame:
+    """answer_id, line_no, line of answers (answer_id, text)."""
+    lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
+    return answers.select("answer_id", F.posexplode(lines).alias("line_no", "line"))
+
+
+def answer_sentences(lines: DataFrame) -> DataFrame:
+    """answer_id, line_no, prefix (bullet), blank, sentence_no (null in blank lines), sentence. Lines: answer_id, line_no, line."""
+    folded = lines.withColumn("line", T.fold_punctuation(F.col("line")))
+    parts = folded.select("answer_id", "line_no", F.regexp_extract("line", BULLET, 1).alias("prefix"), (F.trim("line") == "").alias("blank"), F.regexp_replace("line", BULLET, "").alias("body"))
     return parts.select("answer_id", "line_no", "prefix", "blank", F.posexplode_outer(line_sentences(F.col("body"))).alias("sentence_no", "sentence"))
 
 
@@ -38,13 +43,13 @@ def source_quantities(sources: DataFrame) -> DataFrame:
     return sources.select("answer_id", "number", T.quantities(F.col("text")).alias("quantities"))
 
 
-def check_sentences(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every sentence with citations, unsupported figures and reason (null: kept, uncited, unsupported_number).
+def check_sentences(lines: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every sentence of lines (answer_id, line_no, line) with citations, unsupported figures and reason (null: kept, uncited, unsupported_number).
 
     A source's figures travel with the answer as one small map (answers have a handful of sources).
     """
     known = source_quantities(sources).groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "quantities"))).alias("figures"))
-    rows = answer_sentences(answers).join(known, "answer_id", "left")
+    rows = answer_sentences(lines).join(known, "answer_id", "left")
     numbers = F.coalesce(F.map_keys("figures"), F.array().cast("array<int>"))
     rows = rows.withColumn("sentence", T.drop_unknown_citations(F.col("sentence"), numbers)).withColumn("cited", F.array_distinct(T.citations(F.col("sentence"))))
     supported = F.flatten(F.transform("cited", lambda n: F.coalesce(F.try_element_at("figures", n), F.array().cast("array<struct<value:decimal(38,12),is_percent:boolean>>"))))
@@ -54,31 +59,50 @@ def check_sentences(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).drop("figures")
 
 
-def verify(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """answer_id, text (kept sentences, bullets and paragraph breaks), cited_numbers (in order), removed.
+def shown_lines(lines: DataFrame, sources: DataFrame) -> DataFrame:
+    """answer_id, line_no, text (null: nothing of the line may be shown; empty: a paragraph break), cited, gone.
 
-    Sentences are regrouped by answer; an answer is a small group.
+    A line needs nothing but itself and the sources, so lines can be checked as they arrive.
     """
-    rows = check_sentences(answers, sources)
+    rows = check_sentences(lines, sources)
     kept = F.col("reason").isNull() & F.col("sentence").isNotNull()
-    lines = rows.groupBy("answer_id", "line_no").agg(
+    checked = rows.groupBy("answer_id", "line_no").agg(
         F.first("prefix").alias("prefix"),
         F.first("blank").alias("blank"),
         F.array_sort(F.collect_list(F.when(kept, F.struct("sentence_no", "sentence", "cited")))).alias("kept"),
-        F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("sentence_no", "sentence", "reason")))).alias("gone"),
+        F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("sentence_no", "sentence", "reason", "unsupported")))).alias("gone"),
     )
     text = F.when(F.size("kept") > 0, F.concat(F.col("prefix"), F.array_join(F.transform("kept", lambda x: x["sentence"]), " "))).when(F.col("blank"), F.lit(""))
-    whole = lines.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("text"), F.flatten(F.transform("kept", lambda x: x["cited"])).alias("cited"), "gone"))).alias("lines"))
-    shown = F.transform(F.filter("lines", lambda x: x["text"].isNotNull()), lambda x: x["text"])
+    detail = lambda g: F.array_join(F.array_sort(F.transform(F.coalesce(g["unsupported"], F.array().cast("array<struct<value:decimal(38,12),is_percent:boolean>>")), lambda q: F.concat(F.regexp_replace(q["value"].cast("string"), r"\.?0+$", ""), F.when(q["is_percent"], "%").otherwise("")))), ", ")
+    gone = F.transform("gone", lambda g: F.struct(g["sentence"].alias("sentence"), g["reason"].alias("reason"), detail(g).alias("detail")))
+    return checked.select("answer_id", "line_no", text.alias("text"), F.flatten(F.transform("kept", lambda x: x["cited"])).alias("cited"), gone.alias("gone"))
+
+
+def verify(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """answer_id, text (kept sentences, bullets and paragraph breaks), cited_numbers (in order), removed, lines (to show).
+
+    Lines are regrouped by answer; an answer is a small group.
+    """
+    whole = shown_lines(answer_lines(answers), sources).groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text", "cited", "gone"))).alias("lines"))
+    shown = F.filter("lines", lambda x: x["text"].isNotNull())
     return whole.select(
         "answer_id",
-        F.regexp_replace(F.regexp_replace(F.array_join(shown, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("text"),
+        F.regexp_replace(F.regexp_replace(F.array_join(F.transform(shown, lambda x: x["text"]), "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("text"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["cited"])))).alias("cited_numbers"),
-        F.flatten(F.transform("lines", lambda x: F.transform(x["gone"], lambda g: F.struct(g["sentence"].alias("sentence"), g["reason"].alias("reason"))))).alias("removed"),
+        F.flatten(F.transform("lines", lambda x: x["gone"])).alias("removed"),
+        F.transform(shown, lambda x: F.struct(x["line_no"].alias("line_no"), x["text"].alias("text"))).alias("lines"),
     )
 
 
+def joined(parts: list[Column], sep: str = "\n\n") -> Column:
+    """The parts that are neither null nor empty, one after another."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), sep)
+
+
+def closing_notices(cites_stub: Column, intent: Column) -> Column:
+    return joined([F.when(cites_stub, C.PARTIAL_SOURCES), F.when(intent.isin("advice", "prediction"), C.NOT_ADVICE)])
+
+
 def final_text(body: Column, before: Column, cites_stub: Column, intent: Column) -> Column:
     """Notices before, the body (or the fixed message if it is empty), notices after."""
-    after = F.concat_ws("\n\n", F.when(cites_stub, C.PARTIAL_SOURCES), F.when(intent.isin("advice", "prediction"), C.NOT_ADVICE))
-    return F.concat_ws("\n\n", F.when(before != "", before), F.when(body != "", body).otherwise(C.NO_GROUNDED_ANSWER), F.when(after != "", after))
+    return joined([before, F.when(body != "", body).otherwise(C.NO_GROUNDED_ANSWER), closing_notices(cites_stub, intent)])

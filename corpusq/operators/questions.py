@@ -39,14 +39,15 @@ def analyze(questions: DataFrame, text_col: str = "question") -> DataFrame:
 def route(plans: DataFrame, reports: DataFrame, in_scope: Column | None = None) -> DataFrame:
     """Plans (question_id, intent, tickers, clearly_in_scope) with a route, decided by the first rule that applies.
 
-    reports: ticker, level; a ticker without a row counts as none. ``in_scope`` stands for a guard asked about
-    unclear questions; without one they are let through. Only ``retrieve`` rows need a search.
+    reports: ticker, level; a ticker without a row counts as none. ``in_scope`` stands for a guard that is asked about
+    unclear questions only; where it has no answer (null, as after an error) or there is no guard, they are let
+    through. Only ``retrieve`` rows need a search.
     """
     named = plans.select("question_id", F.explode("tickers").alias("ticker")).join(reports.select("ticker", "level"), "ticker", "left")
     none = named.groupBy("question_id").agg(F.min(F.coalesce(F.col("level"), F.lit("none")) == "none").alias("all_none"))
-    guard = in_scope if in_scope is not None else F.lit(True)
+    asked = F.when(~F.col("clearly_in_scope"), in_scope if in_scope is not None else F.lit(True))
     how = (
-        F.when(~F.col("clearly_in_scope") & ~guard, "out_of_scope")
+        F.when(~F.coalesce(asked, F.lit(True)), "out_of_scope")
         .when((F.col("intent") == "timing") & (F.size("tickers") == 0), "timing")
         .when(F.col("intent") == "live_data", "live_data")
         .when(F.coalesce("all_none", F.lit(False)), "not_covered")
@@ -60,10 +61,13 @@ def live_data_notice(company: Column, metric: Column) -> Column:
     return F.concat(F.lit("I don't have live market data, and the articles don't state "), subject, F.lit(", so I can't give you that figure."))
 
 
-def timing_answer(most_covered: DataFrame) -> DataFrame:
-    """One row: the notice on dates and the most covered companies (column company, in order place) as bullets."""
-    bullets = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "company"))), lambda x: F.concat(F.lit("- "), x["company"])), "\n")
-    return most_covered.agg(F.concat_ws("\n", F.lit(C.NO_DATES), bullets).alias("text"))
+def timing_answer(most_covered: DataFrame, total: DataFrame) -> DataFrame:
+    """One row: the notice on dates, then the most covered companies (place, company, primary_articles) as bullets; total: total_articles."""
+    bullet = F.concat(F.lit("- "), F.col("company"), F.lit(": "), F.col("primary_articles").cast("string"), F.lit(" articles"))
+    bullets = most_covered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", bullet.alias("line")))), lambda x: x["line"]), "\n").alias("bullets"))
+    head = F.concat(F.lit("Instead, here's what the "), F.col("total_articles").cast("string"), F.lit(" articles cover most:\n"))
+    body = F.concat(head, F.col("bullets"), F.lit("\n\nAsk me about any of these companies for a summary of their news."))
+    return bullets.crossJoin(total).select(F.concat_ws("\n\n", F.lit(C.NO_DATES), body).alias("text"))  # one row each
 
 
 def prompt(intent_: Column, question: Column, sources: Column, guidance: Column, system: str, by_intent: dict[str, str]) -> Column:

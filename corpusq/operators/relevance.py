@@ -116,3 +116,8 @@ def tone_label(positive: Column, negative: Column) -> Column:
     hits = positive + negative
     p = (positive - negative) / hits
     return F.when(hits < C.TONE_MIN_HITS, "neutral").when(p >= C.TONE_THRESHOLD, "positive").when(p <= -C.TONE_THRESHOLD, "negative").when(F.least(positive, negative) >= C.TONE_MIXED_MIN, "mixed").otherwise("neutral")
+
+
+def is_relevant(primary_tickers: Column) -> Column:
+    """Whether an article is about some company."""
+    return F.size(primary_tickers) > 0

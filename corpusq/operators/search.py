@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq import config as C
-from corpusq.functions.text import words
+from corpusq.functions.text import let, words
 
 
 @dataclass(frozen=True)
@@ -54,27 +54,55 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = C.BM25_K1, b: float = C.BM25_B, keep: Column | None = None) -> DataFrame:
-    """query_id, id, score, rank (from 1): the k best documents of each query (query_id, query).
+def _bm25_weight(k1: float, b: float) -> Column:
+    """Of a posting with tf, doc_len, df and the totals n and avg_len."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term: the distinct words of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
+
 
-    Statistics are the whole index's; ``keep`` filters candidates below the ranking. Only terms of the queries
-    leave the tokenising scan (a semi-join on the small side), so the shuffle holds their postings alone.
-    Ties go to the smaller id; documents without a query term are no candidates.
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int, k1: float = C.BM25_K1, b: float = C.BM25_B, keep: Column | None = None, max_terms: int = 10_000) -> DataFrame:
+    """query_id, id, score, rank (from 1): the k best documents of each query (query_id, query), straight from texts.
+
+    Statistics are the whole table's; ``keep`` filters candidates below the ranking. One scan tokenises each text once:
+    it keeps the length and the counts of the queries' words. They stand in the plan as a literal if there are ``max_terms``
+    at most; more of them meet the words in a semi-join. Ties go to the smaller id; documents without a
+    query term are no candidates.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (keep if keep is not None else F.lit(True)).alias("keep"))
-    tokens = docs.select("id", "keep", words(F.coalesce("text", F.lit(""))).alias("t")).withColumn("doc_len", F.size("t"))
-    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
-    hits = tokens.select("id", "keep", "doc_len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    index = hits.groupBy("id", "keep", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = query_terms(queries)
+    asked = terms.select("term").distinct()
+    first = [r["term"] for r in asked.limit(max_terms + 1).collect()]
+    tokens = docs.select(F.col(id_col).alias("id"), (keep if keep is not None else F.lit(True)).alias("keep"), words(F.coalesce(text_col, F.lit(""))).alias("t"))
+    if len(first) <= max_terms:
+        wanted = F.array(*map(F.lit, sorted(first))) if first else F.array().cast("array<string>")
+        hits = lambda t: F.transform(F.array_intersect(t, wanted), lambda w: F.struct(w.alias("term"), F.size(F.filter(t, lambda x: x == w)).cast("long").alias("tf")))
+        slim = tokens.select("id", "keep", let(F.col("t"), lambda t: F.struct(F.size(t).alias("doc_len"), hits(t).alias("hits"))).alias("x")).select("id", "keep", "x.doc_len", "x.hits")
+        index = slim.select("id", "keep", "doc_len", F.explode("hits").alias("h")).select("id", "keep", "doc_len", "h.term", "h.tf")
+        lengths = slim.select("doc_len")
+    else:
+        index = tokens.select("id", "keep", F.size("t").alias("doc_len"), F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("id", "keep", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        lengths = tokens.select(F.size("t").alias("doc_len"))
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = index.where("keep").join(df, "term").crossJoin(F.broadcast(totals))  # one row of totals
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
-    sums = scored.withColumn("w", weight).join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    sums = scored.withColumn("w", _bm25_weight(k1, b)).join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(sums, ["query_id"], k)
 
 
+def bm25_postings(postings_: DataFrame, lengths: DataFrame, queries: DataFrame, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+    """query_id, id, score of all documents with a query term, from stored postings (term, id, tf) and lengths (id, doc_len)."""
+    terms = query_terms(queries)
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
+    hits = postings_.join(terms.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    scored = hits.join(df, "term").join(lengths, "id").crossJoin(F.broadcast(totals))  # one row of totals
+    return scored.withColumn("w", _bm25_weight(k1, b)).join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
 def top_k(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k best rows per key; the limit acts on the map side too (window group limit)."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")

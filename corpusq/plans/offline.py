@@ -12,7 +12,7 @@ from corpusq.functions import sentences as S
 from corpusq.functions import text as T
 from corpusq.functions.lineage import checkpoint
 from corpusq.operators import chunking, cleaning, dedup, index, mentions, relevance, stubs
-from corpusq.sources import feeds
+from corpusq.sources import feeds, store
 
 
 def clean_and_flag(raw: DataFrame) -> DataFrame:
@@ -68,14 +68,11 @@ def build(raw: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def main(argv: list[str]) -> None:
-    """offline FEED INDEX: index a feed, print the report of the sync."""
-    feed, path = argv
+    """offline FEED INDEX [--lines]: index a feed (a JSON object, or JSON lines), print the report of the sync."""
     spark = SparkSession.builder.getOrCreate()
-    rows = checkpoint(build(feeds.read_feed(spark, feed), checkpoint))
-    old = feeds.current_version(spark, path)
-    stored = spark.read.parquet(old) if old else rows.limit(0)
-    print(index.sync_report(index.sync_plan(stored, rows)).first().asDict())
-    index.sync(stored, rows).write.parquet(f"{path}/v-{(feeds._number(old) + 1) if old else 0:010d}-sync")
+    read = feeds.read_feed_lines if "--lines" in argv else feeds.read_feed
+    feed, path = (a for a in argv if not a.startswith("--"))
+    print(store.sync(spark, path, checkpoint(build(read(spark, feed), checkpoint))).first().asDict())
 
 
 if __name__ == "__main__":

@@ -61,12 +61,12 @@ def doc_freq(spark, d):
 
 
 @query("""
-    WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 5),
+    WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
          s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE vec_id <> query_id AND label <> 3)
     SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 30""")
 def dense_cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
-    return search.dense_top_k(e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "vec_id", "embedding", C.PREFETCH_K, keep=F.col("label") != 3)
+    return search.dense_top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "vec_id", "embedding", C.PREFETCH_K, keep=F.col("label") != 3)
 
 
 @query("""
@@ -173,19 +173,22 @@ def article_ids_and_hashes(spark, d):
     return table(spark, d, "pages").select("page_id", T.article_id(F.col("url")).alias("article_id"), index.content_hash(F.col("url"), F.struct(F.col("url").alias("u")), F.lit(False)).alias("hash"))
 
 
-@query()
+@query("""
+    WITH a AS (SELECT page_id, substr(sha256(trim(url, ' ')), 1, 16) || ':0' AS name FROM pages),
+         h AS (SELECT page_id, sha1(unhex('6f1c3a529d0e4f5b8a7e2c4b1d9e0a31') || encode(name)) AS h FROM a)
+    SELECT page_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', h[17:17]) - 1) % 4, 1) || h[18:20] || '-' || h[21:32] AS chunk_id FROM h""")
 def chunk_ids(spark, d):
     return table(spark, d, "pages").select("page_id", T.chunk_id(T.article_id(F.col("url")), F.lit(0)).alias("chunk_id"))
 
 
 @query("""
     WITH v AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS h FROM documents),
-         s AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'old' ELSE h END AS h FROM v WHERE id % 7 <> 0), c AS (SELECT id, h FROM v WHERE id % 11 <> 0)
+         s AS (SELECT CASE WHEN id % 7 = 0 THEN -id - 1 ELSE id END AS id, CASE WHEN id % 5 = 0 THEN 'old' ELSE h END AS h FROM v), c AS (SELECT id, h FROM v)
     SELECT count(*) FILTER (c.id IS NOT NULL AND s.h IS DISTINCT FROM c.h) AS written, count(*) FILTER (s.h = c.h) AS unchanged, count(*) FILTER (c.id IS NULL) AS stale_removed FROM s FULL JOIN c USING (id)""")
 def incremental_sync_report(spark, d):
     v = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
-    stored = v.where("id % 7 <> 0").withColumn("hash", F.when(F.col("id") % 5 == 0, "old").otherwise(F.col("hash")))
-    return index.sync_report(index.sync_plan(stored, v.where("id % 11 <> 0")))
+    stored = v.withColumns({"id": F.when(F.col("id") % 7 == 0, -F.col("id") - 1).otherwise(F.col("id")), "hash": F.when(F.col("id") % 5 == 0, "old").otherwise(F.col("hash"))})
+    return index.sync_report(index.sync_plan(stored, v))
 
 
 def _chunks(spark, d):
@@ -238,20 +241,6 @@ def salience_features(spark, d):
     return relevance.salience(body.where("start < 12"), body, words)
 
 
-@query("""
-    WITH s AS (SELECT DISTINCT event_type, value, user_id FROM events) SELECT count(*) AS n FROM s""")
-def distinct_event_values(spark, d):
-    return table(spark, d, "events").select("event_type", "value", "user_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""
-    WITH a AS (SELECT doc_id, string_split(lower(coalesce(text, '')), ' ') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS w FROM a),
-         y AS (SELECT doc_id, count(*) FILTER (w IN ('the', 'and', 'der', 'la', 'win')) AS hits FROM x GROUP BY 1) SELECT doc_id, hits FROM y""")
-def lexicon_hits(spark, d):
-    w = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(w, lambda x: x.isin("the", "and", "der", "la", "win"))).cast("long").alias("hits"))
-
-
 @query()
 def tone_labels(spark, d):
     pos, neg = relevance.tone_counts(F.array(F.coalesce("text", F.lit(""))))
@@ -268,14 +257,6 @@ def intent_route(spark, d):
     return questions.analyze(q).select("conv_id", "turn", "intent", "clearly_in_scope")
 
 
-@query("""
-    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[0-9]+') AS n FROM documents), x AS (SELECT DISTINCT doc_id, unnest(n) AS n FROM d)
-    SELECT doc_id, count(*) AS figures FROM x GROUP BY 1""")
-def figures_per_document(spark, d):
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([0-9]+)"), F.lit(1)))
-    return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("figures")).where("figures > 0")
-
-
 @query()
 def quantities_in_documents(spark, d):
     q = T.quantities(F.coalesce("text", F.lit("")))
@@ -324,15 +305,11 @@ def duplicate_ids(spark, d):
     return evaluate.duplicate_ids(table(spark, d, "orders").withColumnRenamed("o_custkey", "id"), "id")
 
 
-@query("SELECT o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderkey % 3 = 0")
-def multiset_except(spark, d):
-    o = table(spark, d, "orders")
-    return o.where("o_orderkey % 2 = 0").select("o_orderpriority").exceptAll(o.where("o_orderkey % 3 = 0").select("o_orderpriority"))
-
-
-@query(r"SELECT doc_id, regexp_replace(text, '\bthe\b', 'a', 'g') AS text, text <> regexp_replace(text, '\bthe\b', 'a', 'g') AS touched FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query(r"""
+    WITH x AS (SELECT doc_id, text, regexp_replace(regexp_replace(coalesce(text, ''), '(^|[^\p{L}\p{N}_\p{M}])the($|[^\p{L}\p{N}_\p{M}])', '\1a\2', 'g'), '(^|[^\p{L}\p{N}_\p{M}])the($|[^\p{L}\p{N}_\p{M}])', '\1a\2', 'g') AS changed FROM documents)
+    SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE changed END AS text, coalesce(changed <> text, false) AS touched FROM x""")
 def counterfactual(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    docs = table(spark, d, "documents")
     return evaluate.counterfactual(docs, "the", "a", ["text"]).select("doc_id", "text", "touched")
 
 
@@ -363,7 +340,7 @@ def _news(spark, d):
     n = F.col("conv_id") % 5
     lead = F.when(n == 0, "Intel (NASDAQ:INTC) shares rose 7-9% after a deal with Nvidia. ").when(n == 1, "Cerence Inc. (CRNC) beat estimates. Growth was strong, not weak. ").when(n == 2, "Apple will launch a new iPhone for $1.2 billion. ").otherwise("")
     tail = F.when(n == 0, " Read More: Intel Is Up Today. Continue Reading").when(n == 1, " All rights reserved. Contact us at desk@example.com today.").otherwise("")
-    title = F.concat(F.when(n == 0, "Intel soars as Nvidia signs: ").when(n == 2, "Should You Buy Apple? ").otherwise(""), F.substring("head", 1, 60))
+    title = F.concat(F.when(n == 0, "Intel soars as Nvidia signs: ").when(n == 2, "Should You Buy Apple? ").otherwise(""), F.col("head"))
     seq = (F.col("conv_id") * 1000 + F.col("turn")).alias("seq")
     return q.join(a, ["conv_id", "turn"]).select(seq, title.alias("title"), F.concat(F.lit("https://news.example/"), F.sha1("body")).alias("link"), F.lit("INTC").alias("ticker"), F.concat(lead, F.col("body"), tail).alias("text"))
 
@@ -407,13 +384,61 @@ def offline_build(spark, d):
     return offline.build(_news(spark, d), checkpoint).select("id", "article_id", "chunk_index", "primary_tickers", "mentioned_tickers", "event_types", "sentiment", "article_type", "is_stub")
 
 
-@query()
-def online_answers(spark, d):
+def _answers(spark, d):
     from corpusq.plans import offline, online
+    from corpusq.sources import store
 
-    chunks = checkpoint(offline.build(_news(spark, d), checkpoint))
+    index = store.build(checkpoint(offline.build(_news(spark, d), checkpoint)))
+    index = store.Index(*map(checkpoint, (index.chunks, index.vectors, index.postings)))
     asked = spark.createDataFrame([(1, "Why did Intel stock jump?"), (2, "What is Apple's current market cap?"), (3, "What happened yesterday?"), (4, "Any news on IBM?"), (5, "Should I buy Nvidia?"), (6, "What do analysts say?")], "question_id int, question string")
-    return online.answer(asked, chunks)
+    return online.respond(asked, index)
+
+
+@query()
+def online_answers(spark, d):
+    return _answers(spark, d).select("question_id", "route", "intent", "tickers", "text", "cited_numbers")
+
+
+@query()
+def answer_events(spark, d):
+    from corpusq.plans import online
+
+    return online.events(_answers(spark, d))
+
+
+@query(r"""
+    WITH t AS (SELECT conv_id || '-' || turn AS id, regexp_replace(regexp_replace(coalesce(text, ''), '\[\d+\]', ' ', 'g'), '(?i)\bsources? \d+(?:\s*(?:,|and|&)\s*\d+)*', ' ', 'g') AS x FROM conversations),
+         n AS (SELECT id, list_transform(regexp_extract_all(x, '(?:^|[^\p{L}\p{N}_.])((?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)', 1), lambda v: replace(v, ',', '')) AS found FROM t)
+    SELECT id, array_to_string(list_sort(list_distinct(found)), ' ') AS numbers FROM n""")
+def numbers_in_conversations(spark, d):
+    from corpusq.functions.text import numbers
+
+    return table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.array_join(numbers(F.coalesce("text", F.lit(""))), " ").alias("numbers"))
+
+
+@query(r"""
+    WITH a AS (SELECT doc_id AS id, regexp_extract_all(replace(coalesce(text, ''), ' the ', ' (NYSE: THE) '), '\([A-Z]+\s*:\s*[A-Z.]+\)') AS w FROM documents),
+         b AS (SELECT doc_id AS id, regexp_extract_all(regexp_replace(replace(coalesce(text, ''), ' the ', ' (NYSE: THE) '), '\(NYSE: THE\)', 'the'), '\([A-Z]+\s*:\s*[A-Z.]+\)') AS w FROM documents)
+    SELECT id, unnest(w) AS tag FROM a EXCEPT ALL SELECT id, unnest(w) AS tag FROM b""")
+def lost_exchange_tags(spark, d):
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), " the ", " (NYSE: THE) ")
+    before = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))
+    after = before.withColumn("text", F.concat(F.substring_index("text", "(NYSE: THE)", 1), F.when(F.instr("text", "(NYSE: THE)") > 0, F.concat(F.lit("the"), F.expr("substring(text, instr(text, '(NYSE: THE)') + 11)"))).otherwise("")))
+    return evaluate.lost_tags(before, after)
+
+
+@query("SELECT source AS article_id, bool_or(lang = 'en') AS relevant FROM documents GROUP BY 1")
+def relevant_articles(spark, d):
+    langs = table(spark, d, "documents").groupBy(F.col("source").alias("article_id")).agg(F.collect_set("lang").alias("langs"))
+    return langs.select("article_id", relevance.is_relevant(F.filter("langs", lambda x: x == "en")).alias("relevant"))
+
+
+@query("SELECT page_id AS id, url, html FROM pages")
+def payload_round_trip(spark, d):
+    from corpusq.sources import store
+
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", "html")
+    return store.from_payload(store.to_payload(rows.withColumn("more", F.lit(1))), "id long, url string, html string")
 
 
 @query(r"""
@@ -451,22 +476,13 @@ def relevance_report(spark, d):
     return feeds.relevance_report(offline.enrich(checkpoint(offline.merge(checkpoint(offline.clean_and_flag(_news(spark, d))), checkpoint)), checkpoint))
 
 
-@query(r"""
-    WITH a AS (SELECT conv_id || '-' || turn AS id, regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{9,}') AS w FROM conversations), b AS (SELECT id, unnest(w) AS tag FROM a),
-         c AS (SELECT id, tag, count(*) AS n FROM b GROUP BY 1, 2) SELECT id, tag, n FROM c WHERE n > 1""")
-def repeated_long_words(spark, d):
-    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-zÀ-ÿ]{9,})"), F.lit(1))
-    rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.explode(w).alias("tag"))
-    return rows.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 @query("SELECT count(DISTINCT source || '-' || (doc_id % 400)) AS total_articles FROM documents")
 def total_articles(spark, d):
     return COV.total_articles(_chunks(spark, d))
 
 
 @query("""
-    WITH d AS (SELECT user_id % 40 AS a, CAST(event_id AS INTEGER) AS p, event_type AS t FROM events), s AS (SELECT a, CAST(range AS INTEGER) AS s, CAST(range + 300 AS INTEGER) AS e FROM (SELECT DISTINCT a FROM d), range(0, 100000, 300)),
+    WITH d AS (SELECT user_id % 40 AS a, CAST(event_id AS INTEGER) AS p, event_type AS t FROM events), s AS (SELECT a, CAST(range AS INTEGER) AS s, CAST(range + 300 AS INTEGER) AS e FROM (SELECT DISTINCT a FROM d), (SELECT unnest(range(0, (SELECT max(event_id) + 1 FROM events), 300)) AS range)),
          m AS (SELECT d.a, d.t, d.p, s.s FROM d JOIN s ON d.a = s.a AND d.p >= s.s AND d.p < s.e), y AS (SELECT a, s FROM m GROUP BY 1, 2 HAVING count(DISTINCT t) >= 3),
          z AS (SELECT m.a, m.t, bool_and((m.a, m.s) IN (SELECT a, s FROM y)) AS o FROM m GROUP BY 1, 2)
     SELECT a AS article_id, t AS ticker FROM z WHERE o AND (a, t) NOT IN (SELECT a, t FROM d WHERE p < 50)""")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from corpusq.operators.relevance import is_relevant
+
 ENTRY = StructType([StructField(n, StringType()) for n in ("title", "link", "ticker", "full_text")])
 FEED = MapType(StringType(), ArrayType(ENTRY))
 
@@ -101,23 +103,31 @@ def parse_sse(stream: Column) -> Column:
     return F.filter(parsed, lambda x: x["data"] != "")
 
 
+REPORT_HEAD = "| Title | Type | Primary | Mentioned | Events | Tone | Salience | Stub |\n|-|-|-|-|-|-|-|-|"
+
+
 def relevance_report(articles: DataFrame, top: int = 3) -> DataFrame:
-    """One row: a Markdown audit; articles by title, then those without a primary company.
+    """section, title, line: a Markdown audit, a row per line; articles by title, then those without a primary company.
 
     Articles: title, article_type, primary_tickers, mentioned_tickers, event_types, sentiment, salience
-    (map), is_stub. The report is for people and is gathered in one row.
+    (map), is_stub. The head lines sort in front of their section.
     """
     best = F.slice(F.array_sort(F.transform(F.map_entries("salience"), lambda x: F.struct((-x["value"]).alias("s"), x["key"].alias("t")))), 1, top)
     cells = [F.regexp_replace("title", r"\|", "/"), F.col("article_type"), F.array_join("primary_tickers", ", "), F.array_join("mentioned_tickers", ", "), F.array_join("event_types", ", "), F.col("sentiment"), F.array_join(F.transform(best, lambda x: F.format_string("%s %.2f", x["t"], -x["s"])), ", "), F.when(F.col("is_stub"), "yes").otherwise("")]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |"))
-    head = "| Title | Type | Primary | Mentioned | Events | Tone | Salience | Stub |\n|-|-|-|-|-|-|-|-|"
-    rows = F.array_sort(F.collect_list(F.struct("title", line.alias("line"))))
-    bare = F.array_sort(F.collect_list(F.when(F.size("primary_tickers") == 0, F.col("title"))))
-    return articles.agg(F.concat(F.lit(head + "\n"), F.array_join(F.transform(rows, lambda x: x["line"]), "\n"), F.lit("\n\n## Without a primary company\n"), F.array_join(F.transform(bare, lambda t: F.concat(F.lit("- "), t)), "\n")).alias("report"))
+    spark = articles.sparkSession
+    heads = spark.createDataFrame([(0, "", REPORT_HEAD), (1, "", "\n## Without a primary company")], "section int, title string, line string")
+    rows = articles.select(F.lit(0).alias("section"), "title", line.alias("line"))
+    bare = articles.where(~is_relevant(F.col("primary_tickers"))).select(F.lit(1).alias("section"), "title", F.concat(F.lit("- "), F.col("title")).alias("line"))
+    return heads.union(rows).union(bare)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The report as text, in order; the sort is distributed, so the parts in order are the report."""
+    report.repartitionByRange("section", "title").sortWithinPartitions("section", "title", "line").select("line").write.text(path)
 
 
-def run_log(plans: DataFrame, retrieved: DataFrame, removed: DataFrame) -> DataFrame:
-    """One JSON line per question: intent, tickers, route, chunk ids by rank, removed sentences."""
-    chunks = retrieved.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
-    rows = plans.join(chunks, "question_id", "left").join(removed, "question_id", "left")
-    return rows.select("question_id", F.to_json(F.struct("intent", "tickers", "route", "chunk_ids", "removed")).alias("line"))
+def run_log(answers: DataFrame, latency_ms: int | None = None) -> DataFrame:
+    """question_id, line: one JSON line per answered question (see the online plan), with the batch's latency."""
+    fields = [F.col("question").alias("query"), "intent", "tickers", "route", F.col("chunk_ids").alias("retrieved_chunk_ids"), F.lit(latency_ms).cast("long").alias("latency_ms"), F.col("tokens").alias("output_tokens"), F.col("removed").alias("removed_sentences"), (F.col("route") == "out_of_scope").alias("out_of_scope")]
+    return answers.select("question_id", F.to_json(F.struct(*fields)).alias("line"))

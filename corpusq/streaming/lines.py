@@ -1,14 +1,17 @@
-"""Streams: answer deltas to verified lines, and windowed counts of events."""
+"""Streams: answer deltas to lines, their verification, and windowed counts of events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusq.operators.grounding import shown_lines
+
 
 def split_lines(held: str, deltas: list[str]) -> tuple[list[str], str]:
     """(lines completed by the deltas, text still waiting for its line break)."""
@@ -49,6 +52,20 @@ def batch_lines(deltas: DataFrame) -> DataFrame:
     return lines.where((F.col("line") != "") | (F.col("line_no") < F.col("n") - 1)).drop("n")
 
 
+def verified_lines(deltas: DataFrame, sources: DataFrame, emit: Callable[[DataFrame], None], timeout_ms: int = 600_000) -> DataStreamWriter:
+    """A writer of the stream's lines that gives ``emit`` each batch of completed lines after verification only.
+
+    Sources (answer_id, number, text) are a table. Emitted: answer_id, line_no, text; lines nothing of which is
+    supported do not appear. A line is checked on its own, so nothing waits for the rest of its answer.
+    """
+
+    def check(batch: DataFrame, _: int) -> None:
+        known = sources.join(batch.select("answer_id").distinct(), "answer_id", "left_semi")
+        emit(shown_lines(batch, known).where("text is not null").select("answer_id", "line_no", "text"))
+
+    return completed_lines(deltas, timeout_ms).writeStream.outputMode("append").foreachBatch(check)
+
+
 def windowed_counts(events: DataFrame, time_col: str, key: str, size: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Events per key and tumbling window; on a stream, rows later than ``late`` are dropped by the watermark."""
     return events.withWatermark(time_col, late).groupBy(F.window(time_col, size).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")

@@ -1,6 +1,9 @@
 """Operators of the analytics engine: small cases with known results, and plans."""
 
 import json
+import os
+import subprocess
+import sys
 import uuid
 
 import pytest
@@ -9,9 +12,11 @@ from pyspark.sql import functions as F
 from corpusq import config as C
 from corpusq.functions import sentences as S
 from corpusq.functions import text as T
+from corpusq.functions.lineage import checkpoint
 from corpusq.operators import chunking, cleaning, coverage, dedup, evaluate, grounding, index, mentions, questions, relevance, search, stubs
-from corpusq.queries import QUERIES, checkpoint
-from corpusq.sources import feeds
+from corpusq.plans import online, providers
+from corpusq.queries import QUERIES
+from corpusq.sources import feeds, rules, store
 from corpusq.streaming import lines
 
 
@@ -404,6 +409,138 @@ def test_feed_and_frames(spark, tmp_path):
     assert [tuple(x) for x in one(spark, feeds.parse_sse(F.col("s")), s=stream)] == [("meta", "{\n 1}"), ("message", "x")]
 
 
+def test_rule_files_are_validated():
+    good = rules.parse_noise_rules('[[noise_rules]]\nname = "a"\ncategory = "x"\npattern = "b+"\n[[noise_rules]]\nname = "c"\nstrategy = "to_end"\npattern = "d"\ntruncation = true')
+    assert [(r.name, r.strategy, r.truncation) for r in good] == [("a", "span", False), ("c", "to_end", True)]
+    assert cleaning.remove_noise("a bbb c", "", cleaning.compiled(rules=good[:1]))[0] == "a   c"
+    for bad in ('name = "a"\nstrategy = "no"\npattern = "b"', 'name = "a"\npattern = "("', 'name = "a"\npattern = "b"\nodd = 1'):
+        with pytest.raises(ValueError):
+            rules.parse_noise_rules("[[noise_rules]]\n" + bad)
+    assert rules.parse_registry('{"X": {"name": "Ex", "aliases": ["Ex", "E"], "indexed": true}}') == {"X": ("Ex", True, ["Ex", "E"], [])}
+    for bad in ('{"x": {"name": "a"}}', '{"X": {}}', '{"X": {"name": "A"}, "Y": {"name": "a"}}'):
+        with pytest.raises(ValueError):
+            rules.parse_registry(bad)
+    assert rules.settings({"CORPUSQ_TOP_K": "5"}).top_k == 5
+    with pytest.raises(ValueError):
+        rules.settings({"CORPUSQ_TOP_K": "50"})
+
+
+# --- The stored index and the online plan ---------------------------------------------------------------------------
+def chunk_rows(spark, n=6, stub=False):
+    rows = [(f"c{i}", f"a{i}", 0, f"h{i}", f"Title {i}", f"l{i}", "", f"Intel sold 2 chips. More.", f"Title: {i}\n\nIntel sold 2 chips. More.", stub, ["INTC"], ["NVDA"], ["product"], "neutral", "news") for i in range(n)]
+    return spark.createDataFrame(rows, store.CHUNK)
+
+
+def test_stored_index_is_reused(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    assert store.load(spark, path).chunks.isEmpty() and store.health(spark, path) == {"status": "degraded", "store": "up", "index_ready": False}
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        seen.add(len(texts))
+        assert len(texts) <= 4
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = chunk_rows(spark)
+    assert store.sync(spark, path, rows, providers.encoder(embed, 4)).first().asDict() == {"written": 6, "unchanged": 0, "stale_removed": 0}
+    first = feeds.current_version(spark, path)
+    changed = rows.where("id <> 'c5'").withColumn("hash", F.when(F.col("id") == "c0", "new").otherwise(F.col("hash")))
+    assert store.sync(spark, path, changed, providers.encoder(embed, 4)).first().asDict() == {"written": 1, "unchanged": 4, "stale_removed": 1}
+    assert seen.value == 7  # only the changed chunk was encoded again
+    now = store.load(spark, path)
+    assert now.chunks.count() == now.vectors.count() == 5 and now.postings.select("id").distinct().count() == 5
+    assert store.health(spark, path)["status"] == "ok" and spark.read.parquet(f"{first}/chunks").count() == 6
+    back = store.from_payload(store.to_payload(now.chunks))
+    assert sorted(r.title for r in back.collect()) == [f"Title {i}" for i in range(5)]
+    store.drop_versions_before(spark, path, feeds.current_version(spark, path))
+    assert feeds.current_version(spark, path) != first and not index.is_ready(f"{first}/chunks", spark)
+
+    def broken(texts):
+        raise providers.EmbeddingError("service is down")
+
+    with pytest.raises(Exception, match="service is down"):
+        store.build(rows, providers.encoder(broken)).vectors.collect()
+
+
+def asked(spark, *questions_):
+    return spark.createDataFrame(list(enumerate(questions_)), "question_id int, question string")
+
+
+def say(text, error=None):
+    return lambda requests: requests.select("question_id", F.lit(text).alias("draft"), F.lit(error).cast("string").alias("error"), F.lit(1).alias("tokens"))
+
+
+def test_online_exits(spark):
+    built = store.build(chunk_rows(spark))
+    qs = asked(spark, "How is the weather?", "What happened today?", "What is Intel's current market cap?", "News on Alibaba?", "Why did Intel stock jump?", "Should I buy Intel?", "What about Nvidia today?")
+    ports = online.Ports(draft=say("Intel sold 2 chips [1].\n\nIt sold 99 chips [1].\nNothing cited."), guard=lambda q: F.when(q.contains("weather"), False))
+    got = {r.question_id: r for r in online.respond(qs, built, ports).collect()}
+    assert {i: r.route for i, r in got.items()} == {0: "out_of_scope", 1: "timing", 2: "live_data", 3: "not_covered", 4: "answered", 5: "answered", 6: "answered"}
+    assert got[0].text == C.OUT_OF_SCOPE and got[3].text == "None of the articles in this dataset mention Alibaba."
+    assert got[1].text == C.NO_DATES + "\n\nInstead, here's what the 6 articles cover most:\n- Intel: 6 articles\n\nAsk me about any of these companies for a summary of their news."
+    assert got[2].text.startswith("I don't have live market data, and the articles don't state Intel's current market cap") and not got[2].cited_numbers
+    assert got[4].removed == 2 and [c.number for c in got[4].citations] == [1] and "99" not in got[4].text
+    assert got[5].text.endswith(C.NOT_ADVICE) and got[5].notices == [C.NOT_ADVICE]
+    assert got[6].text.startswith(C.NO_DATES + "\n\nThere's no dedicated news about Nvidia in this dataset")
+    frames = {}
+    for r in online.events(online.respond(qs, built, ports)).orderBy("question_id", "seq").collect():
+        frames.setdefault(r.question_id, []).append(r)
+    assert [r.event for r in frames[0]] == ["meta", "final"] and [r.event for r in frames[4]] == ["meta", "sources", "delta", "delta", "final"]
+    assert all("99" not in r.data for r in frames[4] if r.event in ("delta", "final"))  # what is not supported is never sent
+    assert json.loads(frames[4][-1].data)["citations"][0]["chunk_id"] == got[4].chunk_ids[0] and frames[4][0].frame.startswith("event: meta\ndata: {")
+    log = [json.loads(r.line) for r in online.run_log(online.respond(qs, built, ports), 12).collect()]
+    assert all(x["latency_ms"] == 12 for x in log) and sum(x["out_of_scope"] for x in log) == 1
+
+
+def test_online_failures(spark):
+    built, qs = store.build(chunk_rows(spark, stub=True)), asked(spark, "Why did Intel stock jump?")
+
+    def down(texts):
+        raise providers.EmbeddingError("no vectors")
+
+    one_ = lambda ports, index_=built: online.respond(qs, index_, ports).first()
+    r = one_(online.Ports(encode=providers.encoder(down)))
+    assert (r.route, r.error) == ("retrieval_error", "no vectors") and r.text.endswith(C.ANSWER_UNAVAILABLE)
+    r = one_(online.Ports(draft=say(None, "model is down")))
+    assert (r.route, r.error) == ("model_error", "model is down") and r.text.endswith(C.ANSWER_UNAVAILABLE) and r.text.startswith("Coverage of Intel")
+    r = one_(online.Ports(wrap=lambda p: p.where("false")))
+    assert r.route == "nothing_found" and r.text.endswith(C.NO_GROUNDED_ANSWER)
+    r = one_(online.Ports(draft=say("Nothing cited.")))
+    assert r.route == "answered" and C.NO_GROUNDED_ANSWER in r.text and not r.cited_numbers
+    r = one_(online.Ports(draft=say("Intel sold 2 chips [1].")))
+    assert r.text.endswith(C.PARTIAL_SOURCES)
+    guard = online.respond(asked(spark, "How is it?"), built, online.Ports(guard=lambda q: F.lit(None).cast("boolean"))).first()
+    assert guard.route == "answered"  # a guard that fails lets the question through
+    swapped = one_(online.Ports(wrap=lambda p: evaluate.counterfactual(p, "chips", "boats", ["text"]), draft=lambda rq: providers.extractive_answer(rq, 2)))
+    assert "boats" in swapped.text and "chips" not in swapped.text
+    said = online.respond(qs, built, online.Ports(draft=lambda rq: rq.select("question_id", F.col("prompt").alias("draft"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("tokens")))).select("lines").first()
+    assert said is not None
+
+
+def test_model_reads_guidance_and_labels(spark):
+    built = store.build(chunk_rows(spark, 2, stub=True))
+    seen = {}
+
+    def draft(requests):
+        seen["prompt"] = requests.first().prompt
+        return say("x [1].")(requests)
+
+    online.respond(asked(spark, "News on Nvidia?"), built, online.Ports(draft=draft)).collect()
+    assert "Coverage of Nvidia is thin." in seen["prompt"] and "[1] (PARTIAL; mentions the company only in passing)\n" in seen["prompt"] and "Question: News on Nvidia?" in seen["prompt"]
+
+
+def test_streamed_lines_are_verified(spark, tmp_path):
+    df = spark.createDataFrame([("q", 0, "Up 5% [1].\nUp 6", False), ("q", 1, "% [1].\n", False), ("q", 2, "End [1].", True)], "answer_id string, seq int, delta string, last boolean")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    sources = spark.createDataFrame([("q", 1, "rose 5%")], "answer_id string, number int, text string")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    w = lines.verified_lines(stream, sources, lambda out: out.write.mode("append").parquet(f"{tmp_path}/out"))
+    q = w.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.awaitTermination(120)
+    q.stop()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [("q", 0, "Up 5% [1]."), ("q", 2, "End [1].")]
+
+
 def test_lines(spark, tmp_path):
     assert lines.split_lines("ab", ["c\nd", "\n\ne"]) == (["abc", "d", ""], "e")
     df = spark.createDataFrame([("q", 0, "a\nb", False), ("q", 1, "c\n", False), ("q", 2, "end", True)], "answer_id string, seq int, delta string, last boolean")
@@ -417,7 +554,13 @@ def test_lines(spark, tmp_path):
     assert sorted(map(tuple, spark.table("lines").collect())) == want
 
 
-def test_entry_runs_without_the_training_data_part(spark):
+def test_entry_runs_without_the_training_data_part():
+    """With the subpackage and the pipeline out of reach, the rest imports and keeps its queries."""
+    code = "import sys\nsys.modules['corpusq.llm'] = sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nq = e.queries()\nassert q and not any(n.startswith('op') or n == 'pipeline' for n in q) and set(e.oracle_sql()) <= set(q)\nassert not any(m.startswith('corpusq.llm.') for m in sys.modules)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
