@@ -145,9 +145,9 @@ def routes(words: list[bytes], flat: np.ndarray, ends: np.ndarray) -> np.ndarray
 
     Two texts agree in a number with the probability of their words' weighted overlap. Texts without words have zeros.
     """
-    bare = [w.lower().strip(MARKS + b"\"'()") for w in words]
-    code = np.array([zlib.crc32(w) << 8 | min(len(w), 255) for w in bare], np.uint64)
-    rate = np.array([min(len(w), 20) ** 2 + 1e-6 for w in bare])
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) << np.uint64(8) | np.minimum(size, 255).astype(np.uint64)
+    rate = np.minimum(size, 20) ** 2.0
     out, full = np.zeros((len(ends) - 1, 2), np.int64), np.nonzero(np.diff(ends))[0]
     for k in range(2):
         h = mix64(code + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
@@ -166,26 +166,45 @@ def token_ids(path: str) -> Ids:
     return _IDS[path]
 
 
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and number of every term of every document, in order."""
+    flat = np.concatenate(docs)
+    bits = 16 if len(docs) <= 1 << 16 and flat.dtype == np.uint16 else 32
+    owner = np.repeat(np.arange(len(docs), dtype=np.uint32 if bits == 16 else np.int64), [len(d) for d in docs])
+    both = np.sort((owner << bits) | flat)
+    first = np.nonzero(np.append(True, both[1:] != both[:-1]))[0] if len(both) else np.zeros(0, np.int64)
+    both, tf = both[first].astype(np.int64), np.diff(np.append(first, len(both))).astype(float)
+    return both >> bits, both & ((1 << bits) - 1), tf
+
+
 class Index:
     """BM25 postings of one shard's documents, term by term. ``idf`` by token id and ``mean`` length are the table's."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         n, length = len(docs), np.array([len(d) for d in docs], np.int64)
-        both = np.sort((np.repeat(np.arange(n), length) << 32) + np.concatenate(docs).astype(np.int64))
-        first = np.nonzero(np.append(True, both[1:] != both[:-1]))[0]
-        tf = np.diff(np.append(first, len(both))).astype(float)
-        owner, term = both[first] >> 32, both[first] & 0xFFFFFFFF
+        owner, term, tf = term_counts(docs)
         w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
         kinds, term, df = np.unique(term, return_inverse=True, return_counts=True)
         order = np.argsort(term.astype(np.uint16) if len(kinds) < 1 << 16 else term, kind="stable")
         self.n, self.doc, self.w = n, owner[order], w[order]
         self.first, self.df = np.cumsum(df) - df, df
         self.term, self.start = term, np.searchsorted(owner, np.arange(n + 1))
+        self.live = n
+
+    def forget(self, used: np.ndarray) -> None:
+        """Drop the postings of used documents, once they are a quarter of those that are left."""
+        live = self.n - int(used.sum())
+        if live <= 0.75 * self.live:
+            self.live, keep = live, ~used[self.doc]
+            before = np.append(0, np.cumsum(keep))
+            self.first, self.df = before[self.first], before[self.first + self.df] - before[self.first]
+            self.doc, self.w = self.doc[keep], self.w[keep]
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """All unused documents that share a term with the seed, by falling score, ties by position."""
         t = self.term[self.start[seed] : self.start[seed + 1]]
-        t = t[self.df[t] > 1]
+        self.forget(used)
+        t = t[self.df[t] > 0]
         if not len(t):
             return t
         at = _spans(self.first[t], self.df[t])
@@ -209,8 +228,8 @@ def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float
     whose lengths are powers of two, the longest first.
     """
     pieces, seq = [], 0
-    start, left = [0] * len(docs), [len(d) for d in docs]
-    used = np.array(left, np.int64) == 0
+    start, left = np.zeros(len(docs), np.int64), np.array([len(d) for d in docs], np.int64)
+    used = left == 0
     index = Index(docs, idf, mean) if len(docs) else None
     cursor, seed = 0, -1
     last: list[tuple[int, int, int]] = []
@@ -222,36 +241,45 @@ def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float
                 break
             seed = cursor
         used[seed] = True
-        chosen, room, waiting = [(seed, start[seed], left[seed])], window - left[seed], []
+        chosen, room = [(seed, int(start[seed]), int(left[seed]))], window - int(left[seed])
         if room:
-            for d in index.neighbours(seed, used).tolist():
-                if left[d] <= room:
-                    chosen.append((d, start[d], left[d]))
-                    used[d] = True
-                    room -= left[d]
-                    if not room:
-                        break
-                else:
-                    waiting.append(d)
-        seed, waiting = -1, waiting[::-1]
-        while room:  # cut the best neighbour left; without neighbours take documents in order
-            if waiting:
-                d = waiting.pop()
-            else:
-                while cursor < len(docs) and used[cursor]:
-                    cursor += 1
-                if cursor == len(docs):
+            near = index.neighbours(seed, used)
+            size, at, taken = left[near], 0, np.zeros(len(near), bool)
+            while room:  # those that fit now, as many in a row as fit together
+                fit = np.nonzero(size[at:] <= room)[0] + at
+                if not len(fit):
                     break
-                d = cursor
-            take = min(room, left[d])
-            chosen.append((d, start[d], take))
-            start[d] += take
-            left[d] -= take
+                reach = np.cumsum(size[fit])
+                k = int(np.searchsorted(reach, room, side="right"))
+                taken[fit[:k]] = True
+                room, at = room - int(reach[k - 1]), int(fit[k - 1]) + 1
+            chosen += zip(near[taken].tolist(), start[near[taken]].tolist(), size[taken].tolist(), strict=True)
+            used[near[taken]] = True
+            skipped = np.nonzero(~taken)[0]
+            if room and len(skipped):  # the best one that did not fit is longer than the room: cut it
+                seed = int(near[skipped[0]])
+                chosen.append((seed, int(start[seed]), room))
+                start[seed] += room
+                left[seed] -= room
+                room = 0
+            else:
+                seed = -1
+        else:
+            seed = -1
+        while room:  # without neighbours take documents in order
+            while cursor < len(docs) and used[cursor]:
+                cursor += 1
+            if cursor == len(docs):
+                break
+            take = min(room, int(left[cursor]))
+            chosen.append((cursor, int(start[cursor]), take))
+            start[cursor] += take
+            left[cursor] -= take
             room -= take
-            if left[d]:
-                seed = d
+            if left[cursor]:
+                seed = cursor
             else:
-                used[d] = True
+                used[cursor] = True
         if room:
             last = chosen
             break
@@ -319,8 +347,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int |
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
             ids = [np.frombuffer(x, "<u4" if w else "<u2") for w, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            term = np.concatenate(ids).astype(np.int64)
-            seen = np.unique((np.repeat(np.arange(len(ids)), [len(x) for x in ids]) << 32) + term) & 0xFFFFFFFF
+            seen = term_counts(ids)[1]
             if len(df) <= seen.max(initial=0):
                 df = np.append(df, np.zeros(int(seen.max()) + 1 - len(df), np.int64))
             df += np.bincount(seen, minlength=len(df))
