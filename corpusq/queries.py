@@ -38,6 +38,7 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq"), F.substring_index(text, "\n", 1).alias("title"), F.concat(F.lit("https://news.example/"), T.article_id(text)).alias("link"), F.col("source").alias("ticker"), text.alias("text"))
 
 
+_FOLDS = C.QUOTES | C.DASHES | C.SPACES
 ARTICLES = "(SELECT doc_id AS seq, split_part(coalesce(text, ''), chr(10), 1) AS title, 'https://news.example/' || substr(sha256(trim(coalesce(text, ''), ' ')), 1, 16) AS link, source AS ticker, coalesce(text, '') AS text FROM documents)"
 TOKENS = r"(SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM documents)"
 WORDS = r"len(list_filter(regexp_split_to_array(trim(regexp_replace({}, '\s+', ' ', 'g'), ' '), ' '), lambda x: x <> ''))"
@@ -126,10 +127,21 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(checkpoint(_unique(spark, d).select("seq", "title", "text", "is_stub")))
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE n AS ({SQL["near_dup_pairs"]}),
+         q AS (SELECT min(seq) AS seq, {WORDS.format('any_value(text)')} AS words, regexp_matches(arg_max(title, words_), '(?i)^\s*update:') AS upd FROM (SELECT *, 0 AS words_ FROM {ARTICLES}) GROUP BY text),
+         p AS (SELECT row_number() OVER (ORDER BY a, b) AS i, a, b, y.words > x.words OR (y.words = x.words AND y.upd AND NOT x.upd) AS second FROM n JOIN q x ON x.seq = a JOIN q y ON y.seq = b),
+         r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone, CAST([] AS STRUCT(d BIGINT, k BIGINT)[]) AS moves
+               UNION ALL
+               SELECT p.i, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, CASE WHEN second THEN a ELSE b END) END,
+                      CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN moves ELSE list_append(moves, {{'d': CASE WHEN second THEN a ELSE b END, 'k': CASE WHEN second THEN b ELSE a END}}) END
+               FROM r JOIN p ON p.i = r.i + 1),
+         m AS (SELECT unnest(moves, recursive := true) FROM (SELECT moves FROM r ORDER BY i DESC LIMIT 1)),
+         c AS (SELECT seq, seq AS kept FROM q UNION ALL SELECT c.seq, m.k FROM c JOIN m ON c.kept = m.d)
+    SELECT seq, kept AS merged_into FROM c WHERE kept NOT IN (SELECT d FROM m)""")
 def greedy_near_dup_survivors(spark, d):
     a = checkpoint(_unique(spark, d).select("seq", "title", "text", "is_stub"))
-    return dedup.greedy_survivors(a, checkpoint(dedup.near_pairs(a)), checkpoint)
+    return dedup.greedy_survivors(a, checkpoint(dedup.near_pairs(a)), checkpoint).select("seq", "merged_into")
 
 
 @query()
@@ -139,9 +151,6 @@ def dedup_provenance(spark, d):
     return kept.select("seq", "link", F.array_join("source_keys", ",").alias("source_keys"), F.array_join("merged_links", ",").alias("merged_links"))
 
 
-_FOLDS = C.QUOTES | C.DASHES | C.SPACES
-
-
 @query(f"SELECT doc_id, replace(translate(text, '{''.join(_FOLDS)}', '{''.join(_FOLDS.values()).replace(chr(39), chr(39) * 2)}'), '…', '...') AS text FROM documents")
 def fold_punctuation(spark, d):
     return table(spark, d, "documents").select("doc_id", T.fold_punctuation(F.col("text")).alias("text"))
@@ -154,7 +163,17 @@ def url_removal(spark, d):
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"), removed.alias("removed"))
 
 
-@query()
+def _tidy_sql(text: str) -> str:
+    """The symbol and white-space steps without look-around; what a match took of its neighbour is met by the second pass."""
+    fold = f"replace(translate({text}, '{''.join(_FOLDS)}', '{''.join(_FOLDS.values()).replace(chr(39), chr(39) * 2)}'), '…', '...')"
+    steps = [(r"([a-z][.!?])([A-Z][a-z])", r"\1 \2")] * 2 + [(p, " ") for p in C.SYMBOL_PATTERNS]
+    steps += [(r"\(\s*\)|\[\s*\]", " "), (r"\s+", " "), (r"([.!?])(?:\s+[.,;:])+(\s|$)", r"\1\2"), (r"\s+([.,;:!?)\]])(\D|$)", r"\1\2"), (r"\s+([.,;:!?)\]])(\D|$)", r"\1\2"), (r"([(\[])\s+", r"\1"), (r"^\s+|\s+$", "")]
+    for pattern, to in steps:
+        fold = f"regexp_replace({fold}, '{pattern}', '{to}', 'g')"
+    return fold
+
+
+@query(f"SELECT doc_id, {_tidy_sql('text')} AS text FROM documents")
 def whitespace_tidy(spark, d):
     text, _ = T.remove_patterns(T.space_sentences(T.fold_punctuation(F.col("text"))), C.SYMBOL_PATTERNS)
     return table(spark, d, "documents").select("doc_id", T.tidy_whitespace(text).alias("text"))

@@ -332,7 +332,8 @@ def test_kneser_ney_sums_to_one():
             else:
                 p += m.floor
             total += np.exp(p)
-        assert (total <= 1 + 1e-6).all() and (total > 0.8).all(), (context, total)
+        # What is missing is the share of characters never seen, at the floor: one each for the rest of the alphabet.
+        assert (total <= 1 + 1e-6).all() and (total > 0.95).all(), (context, total)
 
 
 def test_quality(spark, odd, empty):
@@ -419,6 +420,75 @@ def test_near_classes_meet_all_of_a_hot_bucket(spark):
     assert links <= pairs
 
 
+CLASHES = ["__score", "__text", "__kept", "__null", "score", "h", "row", "rank", "n", "ids", "tie", "kept", "key", "label", "rep", "class_id", "host", "lines", "drop", "wide", "crc", "held_out", "predicted", "rejected", "lang_pred"]
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_clashing_columns_string_ids_nulls_and_repeats(spark, kind):
+    """Every operator and stage on a table whose further columns have the operators' own names, with ids of two types."""
+    import corpus_pipeline
+
+    prose = [_prose(i, EN if i % 2 else DE, 60) for i in range(40)]
+    texts = [*prose, prose[3], prose[3] + " more", None, "", " ", "x" * 200_000]
+    name = lambda i: None if i is None else (f"d{i:03d}" if kind == "string" else i)
+    ids = [*map(name, range(len(texts))), name(3), None, None]
+    texts += [prose[3], prose[7] + " end", None]
+    rows = [(d, t, "en" if i % 2 else "de", "s" if i % 3 else None, *["c"] * len(CLASHES)) for i, (d, t) in enumerate(zip(ids, texts, strict=True))]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    labels = spark.createDataFrame([(name(i), i % 2, 0) for i in range(40)] + [(None, 1, 0), (name(2), None, None)], f"doc_id {kind}, quality int, toxic int")
+    gam, langs = quality.fit(docs, labels), lang_id.fit(docs)
+    n = len(rows)
+    for found in (quality.predict(docs, gam), lang_id.predict(docs, langs), token_count.token_counts(docs, PIECES), sp_fst.encode(docs, PIECES), sp_fst.encode_digest(docs, PIECES), line_dedup.line_dedup(docs)):
+        assert found.count() == n
+    found = exact_dedup.exact_dedup(docs).collect()
+    assert len(found) == n - 1 and sum(r.kept for r in found) == len({t or "" for t in texts}) + 0  # one row repeats
+    assert {r.doc_id for r in packing.pack(docs, WORDS, window=256).collect()} == set(ids)
+    classes = near_dup.near_classes(docs).collect()
+    assert len(classes) == len({i for i in ids if i is not None}) + 2 and all(r.kept for r in classes if r.doc_id is None)
+    assert len({r.class_id for r in classes if r.doc_id in (name(3), name(40), name(41))}) == 1
+    urls = docs.withColumnRenamed("doc_id", "page_id").withColumn("url", F.lit("http://a.example/b"))
+    assert url_filter.judge_urls(urls, URL_RULES).count() == n
+    for step, stage in corpus_pipeline.STAGES[:-1]:
+        if step != "quality":
+            kept = stage(spark, docs, None)
+            assert kept.columns == docs.columns and kept.schema == docs.schema and 0 < kept.count() <= n, step
+    assert quality.keep_good(docs, gam).columns == docs.columns
+
+
+def test_stages_on_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for step, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty, str(tmp_path))
+        assert got.count() == 0 and (step == "packing" or got.columns == empty.columns), step
+
+
+def test_rejection_of_unlearned_languages(spark):
+    """Learned prose stays, prose of other words and other letters goes."""
+    rows = [(i, _prose(i, EN if i % 2 else DE, 40), "en" if i % 2 else "de") for i in range(400)]
+    m = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    other = ["zqxj vvkw qpzz xkcd wqqz jjvx".split(), "привет как дела сегодня хорошая погода".split(), "今日は天気がいい".split()]
+    test = [(i, _prose(i, EN if i % 2 else DE, 5 + i % 60)) for i in range(1000, 1200)] + [(2000 + i, _prose(i, w, 40)) for i, w in enumerate(other)]
+    got = {r.doc_id: r for r in lang_id.predict(spark.createDataFrame(test, "doc_id long, text string"), m).collect()}
+    assert sum(got[i].rejected for i in range(1000, 1200)) <= 2 and all(got[2000 + i].rejected for i in range(3))
+    assert sum(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(1000, 1200)) >= 198
+
+
+def test_quality_score_equals_brute_force():
+    """Bins and table additions against a loop over features and pairs, on held-out rows."""
+    rng = np.random.default_rng(3)
+    x = rng.random((800, 5))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float)
+    m = quality.fit_gam(x[:500], y[:500], rounds=30, pair_count=3, pair_rounds=10)
+    got = m.score(x)
+    for i in range(0, 800, 7):
+        b = [sum(v >= e for e in m.edges[j]) for j, v in enumerate(x[i])]
+        z = m.intercept + sum(m.tables[j][b[j]] for j in range(5)) + sum(t[m.coarse[p][b[p]], m.coarse[q][b[q]]] for (p, q), t in zip(m.pairs, m.pair_tables, strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert ((got[500:] >= 0.5) == (y[500:] > 0.5)).mean() > 0.9
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
