@@ -19,7 +19,7 @@ from corpusq.llm.token_count import token_counts
 from corpusq.llm.topk import exact_topk
 from corpusq.llm.url_filter import judge_urls
 
-URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
