@@ -25,7 +25,7 @@ def merge(cleaned: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> D
     """One article per story: by link, then near-duplicates; keys and links of dropped copies join their survivor's."""
     flags = cleaned.groupBy("link").agg(F.max_by("is_stub", F.struct(T.word_count(F.col("text")), dedup.is_update(F.col("title")), -F.col("seq"))).alias("is_stub"))
     unique = checkpoint(dedup.merge_by_link(cleaned).join(flags, "link"))
-    survivors = dedup.greedy_survivors(unique, checkpoint(dedup.near_pairs(unique)), checkpoint)
+    survivors = dedup.near_survivors(unique, checkpoint)
     return dedup.merge_near(unique, survivors).select("seq", T.article_id(F.col("link")).alias("article_id"), "link", "title", "text", "is_stub", "source_keys", "merged_links")
 
 

@@ -203,6 +203,38 @@ def test_near_dup_plan_has_no_cartesian_product(spark):
     assert "CartesianProduct" not in plan
 
 
+def test_survivors_equal_replaying_every_pair(spark):
+    """Titles that many share, some alike, with stubs among the articles: the replay by titles is that of all pairs in order."""
+    import random
+
+    r = random.Random(3)
+    heads = ["Intel shares jump on a big deal today", "Update: Intel shares jump on a big deal today", "Intel shares jump on a big deal", "!!", "Apple sells phones"]
+    base = {h: [f"{h[-1]}{i}" for i in range(40)] for h in heads}
+    rows = []
+    for i in r.sample(range(1000), 90):
+        h = r.choice(heads)
+        stub = r.random() < 0.2
+        text = " ".join(f"s{r.randrange(99)}" for _ in range(r.randrange(9))) if stub else " ".join(w if r.random() > 0.03 else "x" for w in base[h][: r.randrange(30, 41)])
+        rows.append((i, h, f"l{i}", "A", text, stub))
+    a = articles(spark, rows)
+    words, upd = ({x[0]: f(x) for x in rows} for f in (lambda x: len(x[4].split()), lambda x: x[1].startswith("Update")))
+    live = {x[0]: [x[0]] for x in rows}
+    for p in sorted((p.a, p.b) for p in dedup.near_pairs(a).collect()):
+        if p[0] in live and p[1] in live:
+            keep, drop = p[::-1] if (words[p[1]], upd[p[1]]) > (words[p[0]], upd[p[0]]) else p
+            live[keep] += live.pop(drop)
+    want = {(s, k, i) for k, own in live.items() for i, s in enumerate(own)}
+    assert {tuple(x) for x in dedup.near_survivors(a, checkpoint).collect()} == want
+    assert {tuple(x) for x in dedup.greedy_survivors(a, dedup.near_pairs(a), checkpoint).collect()} == want
+
+
+def test_articles_of_one_title_are_not_all_compared(spark):
+    """400 unlike articles with one title: no candidates; a stub among them pairs with each."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    a = articles(spark, [(i, "The same title", f"l{i}", "A", body(i // 2 if i < 4 else i), i == 399) for i in range(400)])
+    assert dedup.title_candidates(a).count() == 399 + 2
+
+
 # --- Entities and relevance -----------------------------------------------------------------------------------------
 def tickers(found):
     return [m.ticker for m in found]
