@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corpusq import config as C
 from corpusq.functions.text import any_match, first_match, stem, stem_word
 
+#: Positions of a stretch by which places and spans of an article meet.
+STRETCH = 256
+
 
 def article_type(title: Column, text: Column) -> tuple[Column, Column]:
     """(label, cue): the first rule whose pattern is in the title, or in the lead where the rule says so; else news."""
@@ -55,15 +58,24 @@ def score() -> Column:
     return F.round(F.least(head + C.LEAD_WEIGHT * flag("in_lead") + C.TAGGED_WEIGHT * flag("exchange_tagged") + C.FREQUENCY_WEIGHT * often + C.SHARE_WEIGHT * F.col("relative_share"), F.lit(1.0)), 3)
 
 
-def enumeration_only(body: DataFrame, sentences: DataFrame, title: DataFrame, least: int = C.ENUMERATION_MIN) -> DataFrame:
-    """article_id, ticker of companies named only in sentences that name ``least`` companies or more, and not in the title.
+def within(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of points (article_id, p, ...) with the s and e of the spans (article_id, s, e) that hold them: s <= p < e.
 
-    The range join mention x sentence keeps the article as an equality key, so it stays within articles.
+    Each span is listed under every stretch of ``STRETCH`` positions that it touches and meets only the points of these,
+    so the work follows the length of the texts, not positions times spans. Spans may overlap.
     """
+    at = lambda c: F.floor(c / STRETCH).cast("long")
+    listed = spans.select("article_id", "s", "e").where("s < e").withColumn("stretch", F.explode(F.sequence(at(F.col("s")), at(F.col("e") - 1))))
+    return points.withColumn("stretch", at(F.col("p"))).join(listed, ["article_id", "stretch"]).where("s <= p and p < e").drop("stretch")
+
+
+def enumeration_only(body: DataFrame, sentences: DataFrame, title: DataFrame, least: int = C.ENUMERATION_MIN) -> DataFrame:
+    """article_id, ticker of companies named only in sentences that name ``least`` companies or more, and not in the title."""
     s = sentences.select("article_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = body.join(s, "article_id", "left").where(F.col("s").isNull() | ((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))))
-    many = inside.where("s is not null").groupBy("article_id", "s").agg((F.countDistinct("ticker") >= least).alias("many")).where("many").select("article_id", "s")
-    marked = body.join(inside.join(many, ["article_id", "s"], "left_semi").select("article_id", "ticker", "start").distinct().withColumn("listed", F.lit(True)), ["article_id", "ticker", "start"], "left")
+    inside = within(body.select("article_id", "ticker", F.col("start").alias("p")), s)
+    many = inside.groupBy("article_id", "s").agg((F.countDistinct("ticker") >= least).alias("many")).where("many").select("article_id", "s")
+    listed = inside.join(many, ["article_id", "s"], "left_semi").select("article_id", "ticker", F.col("p").alias("start")).distinct().withColumn("listed", F.lit(True))
+    marked = body.join(listed, ["article_id", "ticker", "start"], "left")
     only = marked.groupBy("article_id", "ticker").agg(F.min(F.coalesce("listed", F.lit(False))).alias("only")).where("only").select("article_id", "ticker")
     return only.join(title.select("article_id", "ticker").distinct(), ["article_id", "ticker"], "left_anti")
 
@@ -83,8 +95,8 @@ def ordered_tickers(scored: DataFrame) -> DataFrame:
 def focus_sentences(sentences: DataFrame, body: DataFrame, primary: DataFrame) -> DataFrame:
     """The sentences (article_id, number, start, end, ...) naming a primary company; all of an article without one."""
     hits = body.join(primary.select("article_id", "ticker").distinct(), ["article_id", "ticker"], "left_semi").select("article_id", F.col("start").alias("p"))
-    cond = (sentences["article_id"] == hits["article_id"]) & (hits["p"] >= sentences["start"]) & (hits["p"] < sentences["end"])
-    named = sentences.join(hits, cond, "left_semi")
+    held = within(hits, sentences.select("article_id", F.col("start").alias("s"), F.col("end").alias("e")))
+    named = sentences.join(held.select("article_id", F.col("s").alias("start"), F.col("e").alias("end")).distinct(), ["article_id", "start", "end"], "left_semi").select(*sentences.columns)
     return named.unionByName(sentences.join(primary.select("article_id").distinct(), "article_id", "left_anti"))
 
 

@@ -236,6 +236,19 @@ def test_articles_of_one_title_are_not_all_compared(spark):
 
 
 # --- Entities and relevance -----------------------------------------------------------------------------------------
+def test_places_meet_spans_by_stretch(spark):
+    """Long, short, empty and overlapping spans against all pairs, and no join on the article alone."""
+    import random
+
+    r = random.Random(5)
+    points = [(r.randrange(3), r.randrange(3000)) for _ in range(200)]
+    spans = list({(r.randrange(3), s := r.randrange(3000), s + r.choice([0, 1, 40, 256, 900])) for _ in range(120)})
+    p, s = spark.createDataFrame(points, "article_id int, p int"), spark.createDataFrame(spans, "article_id int, s int, e int")
+    got = relevance.within(p, s)
+    assert sorted((x.article_id, x.p, x.s, x.e) for x in got.collect()) == sorted((a, q, s, e) for a, q in points for b, s, e in spans if a == b and s <= q < e)
+    assert "stretch" in next(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
 def tickers(found):
     return [m.ticker for m in found]
 
