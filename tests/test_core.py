@@ -139,6 +139,20 @@ def test_clean_driver(spark):
         cleaning.clean(raw, steps=("nope",))
 
 
+def test_python_functions_get_small_batches(spark):
+    """However large a partition, a worker of the cleaning and chunking functions holds few rows at once."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        for use in (cleaning.clean, chunking.chunk):
+            spark.conf.set(rows, "10000")
+            none = F.array().cast("array<string>")
+            use(spark.range(1).select(F.lit("a").alias("article_id"), F.lit("t").alias("title"), F.lit("x").alias("text"), none.alias("primary_tickers"), none.alias("mentioned_tickers"), F.lit(False).alias("is_stub")))
+            assert int(spark.conf.get(rows)) <= 500
+    finally:
+        spark.conf.set(rows, before)
+
+
 # --- Deduplication --------------------------------------------------------------------------------------------------
 def articles(spark, rows):
     return spark.createDataFrame(rows, "seq long, title string, link string, ticker string, text string, is_stub boolean")
