@@ -284,6 +284,18 @@ def test_mentions(spark):
     assert found(spark, "", "")[1] == []
 
 
+def test_patterns_meet_only_texts_that_hold_their_words(spark):
+    texts = ["nothing here", "İntel and ıntel, Teſla, \u212aindle, bacKslash", "AAPLE $AAPL aapl", "the iphone iPhone AMAZON.COM", "microſoft", "Meta platforms (x", "İ App Store"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    every = [mentions._mentions(mentions.places(F.col("t"), F.lit(mentions.mention_pattern(c))), F.lit(c), lambda m, c=c: F.when(F.ltrim(m["hit"], F.lit("$")) == c, "ticker").otherwise("name")) for c in C.COMPANIES]
+    every += [mentions._mentions(mentions.places(F.col("t"), F.lit(p)), F.lit(c), lambda m: F.lit("product")) for c in C.COMPANIES if (p := mentions.product_pattern(c))]
+    got = df.select(mentions.registered(F.col("t")).alias("a"), F.concat(*every).alias("b"))
+    rows = got.collect()
+    assert all(r.a == r.b for r in rows) and [len(r.a) for r in rows][:2] == [0, 3]
+    plan = df.select(mentions.registered(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains(" in plan  # the cheap search stands before the patterns
+
+
 def test_overlapping_mentions(spark):
     kind = mentions.MENTION.replace("struct<", "array<struct<", 1) + ">"
     df = spark.createDataFrame([([("A", 0, 5, "name", False), ("B", 2, 8, "ticker", True), ("C", 8, 9, "name", False), ("D", 8, 12, "name", False)],)], f"m {kind}")
