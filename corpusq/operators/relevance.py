@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq import config as C
-from corpusq.functions.text import any_match, first_match, stem, stem_word
+from corpusq.functions.text import any_match, first_match, let, stem, stem_word
 
 #: Positions of a stretch by which places and spans of an article meet.
 STRETCH = 256
@@ -106,22 +106,35 @@ def events(texts: Column) -> Column:
     return F.array_compact(F.array(*[F.when(said(p), F.lit(e)) for e, p in C.EVENTS.items()]))
 
 
-def tone_counts(sentences: Column) -> tuple[Column, Column]:
-    """(positive, negative) tone words; a negator among the three words before flips one."""
-    sets = [F.array(*[F.lit(x) for x in sorted({stem_word(w) for w in ws})]) for ws in (C.POSITIVE, C.NEGATIVE)]
+def tone(sentences: Column) -> Column:
+    """struct<positive, negative>: tone words; a negator among the three words before flips one.
+
+    Only words that begin like a tone word's stem are stemmed, which few do.
+    """
+    stems = [sorted({stem_word(w) for w in ws}) for ws in (C.POSITIVE, C.NEGATIVE)]
+    sets = [F.array(*map(F.lit, s)) for s in stems]
+    least = min(3, *map(len, stems[0] + stems[1]))  # stemming keeps so many letters
+    begins = sorted({s[:least] for s in stems[0] + stems[1]})
     negators = F.array(*map(F.lit, C.NEGATORS))
     per = F.transform(sentences, lambda s: F.transform(F.regexp_extract_all(s, F.lit(r"([A-Za-z']+)"), F.lit(1)), F.lower))
 
     def polarity(words: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
-            p = F.array_contains(sets[0], stem(w)).cast("int") - F.array_contains(sets[1], stem(w)).cast("int")
+            p = let(stem(w), lambda s: F.array_contains(sets[0], s).cast("int") - F.array_contains(sets[1], s).cast("int"))
             before = F.slice(words, F.greatest(i - C.NEGATION_WINDOW, F.lit(0)) + 1, F.least(i, F.lit(C.NEGATION_WINDOW)))
-            return F.when((p != 0) & F.arrays_overlap(before, negators), -p).otherwise(p)
+            signed = let(p, lambda x: F.when((x != 0) & F.arrays_overlap(before, negators), -x).otherwise(x))
+            return F.when(F.substring(w, 1, least).isin(*begins), signed).otherwise(0)
 
         return F.transform(words, one)
 
     flat = F.flatten(F.transform(per, polarity))
-    return F.size(F.filter(flat, lambda x: x > 0)), F.size(F.filter(flat, lambda x: x < 0))
+    return let(flat, lambda f: F.struct(F.size(F.filter(f, lambda x: x > 0)).alias("positive"), F.size(F.filter(f, lambda x: x < 0)).alias("negative")))
+
+
+def tone_counts(sentences: Column) -> tuple[Column, Column]:
+    """(positive, negative) of :func:`tone`."""
+    both = tone(sentences)
+    return both["positive"], both["negative"]
 
 
 def tone_label(positive: Column, negative: Column) -> Column:

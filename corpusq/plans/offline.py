@@ -50,8 +50,8 @@ def enrich(articles: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) ->
     for t in ("primary", "mentioned", "incidental"):
         out = out.withColumn(f"{t}_tickers", F.coalesce(f"{t}_tickers", none))
     out = out.withColumn("focus", F.coalesce(F.transform("focus", lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])), none))
-    positive, negative = relevance.tone_counts(F.col("focus"))
-    return out.withColumn("event_types", relevance.events(F.concat(F.array("title"), "focus"))).withColumn("sentiment", relevance.tone_label(positive, negative)).drop("focus")
+    sentiment = T.let(relevance.tone(F.col("focus")), lambda t: relevance.tone_label(t["positive"], t["negative"]))
+    return out.withColumn("event_types", relevance.events(F.concat(F.array("title"), "focus"))).withColumn("sentiment", sentiment).drop("focus")
 
 
 def index_rows(enriched: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ DIMENSION = 64
 def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
     """A unit vector of word counts in hashed buckets: the default in place of an embedding service."""
     bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dimension))
-    every = F.sequence(F.lit(0), F.lit(dimension - 1))
-    counts = lambda buckets: F.transform(every, lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long"))
+    counts = lambda buckets: F.transform(every, lambda i: (F.size(buckets) - F.size(F.array_remove(buckets, i))).cast("double"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     unit = lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
     return let(let(F.transform(words(text), bucket), counts), unit)

@@ -392,6 +392,22 @@ def test_dense_search_takes_any_number_of_queries(spark):
     assert len(many) == 40 * 3 and sorted(many) == sorted(few)
 
 
+def test_tone_stems_only_words_that_begin_like_one(spark):
+    words = [w + s for w in (*C.POSITIVE, *C.NEGATIVE, "the", "ri", "xyz", "glad") for s in ("", "s", "es", "ed", "ing", "ies", "ied", "'", "e")]
+    sets = [{T.stem_word(w) for w in ws} for ws in (C.POSITIVE, C.NEGATIVE)]
+    df = spark.createDataFrame([(w,) for w in words], "t string").select("t", relevance.tone(F.array("t")).alias("x"))
+    assert [tuple(r.x) for r in df.collect()] == [tuple(int(T.stem_word(r.t) in s and T.stem_word(r.t) not in o) for s, o in (sets, sets[::-1])) for r in df.collect()]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # both counts come from one walk over the words
+
+
+def test_hashed_embedding_counts_buckets_without_a_walk_for_each(spark):
+    got = one(spark, providers.hashed_embedding(F.col("t")), t="a b b zz")
+    assert len(got) == 64 and abs(sum(x * x for x in got) - 1) < 1e-12 and sorted(round(x * x * 6) for x in got if x) == [1, 1, 4]
+    plan = spark.range(1).select(providers.hashed_embedding(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_remove" in plan and "filter(" not in plan
+
+
 def test_company_first(spark):
     cols = "query_id int, id string, score double, rank int"
     p = spark.createDataFrame([(1, "a", 0.1, 1), (2, "a", 0.1, 1), (2, "b", 0.1, 2)], cols)
