@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,20 +116,122 @@ def as_batch(queries: DataFrame, max_queries: int) -> DataFrame:
     return queries if queries.limit(max_queries + 1).count() > max_queries else F.broadcast(queries)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, keep: Column | None = None, max_queries: int = 1000) -> DataFrame:
+#: Components of a block of the table and of a block of queries; a task holds a pair of blocks and the scores of SCORED queries.
+POOL_BLOCK, QUERY_BLOCK, SCORED = 1 << 22, 1 << 19, 64
+#: Types of ids that are compared as long integers.
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+#: Cosines that differ by more than a step of the sixth digit differ when rounded; the rest is for errors of the product.
+SLACK = 1e-6 + 1e-9
+
+
+def _block_scorer(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of two blocks of vectors (id, own, v; query_id, own, q) the pairs that may be among a query's k best, with their cosine.
+
+    A matrix product is the filter. What stands within rounding of a query's k-th best gets the cosine summed from left
+    to right, as the plain columns do. Carries its code, as executors need not have this package.
+    """
+    scored, slack = SCORED, SLACK
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(c: pa.ChunkedArray) -> np.ndarray:
+            c = c.combine_chunks()
+            return np.asarray(c.flatten(), dtype=np.float64).reshape(len(c), -1)
+
+        def norm(x: np.ndarray) -> np.ndarray:
+            s = np.zeros(len(x))
+            for j in range(x.shape[1]):
+                s += x[:, j] * x[:, j]
+            return np.sqrt(s)
+
+        def result(qi: np.ndarray, pi: np.ndarray, s: np.ndarray) -> pa.Table:
+            return pa.table({"query_id": right["query_id"].combine_chunks().take(pa.array(qi)), "id": left["id"].combine_chunks().take(pa.array(pi)), "cosine": pa.array(s, pa.float64())})
+
+        if not len(left) or not len(right):
+            return result(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        p, q = matrix(left["v"]), matrix(right["q"])
+        pn, qn = norm(p), norm(q)
+        unit, asked = (p / pn[:, None]).T.copy(), q / qn[:, None]
+        codes = pa.chunked_array([*left["own"].chunks, *right["own"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        code, mine = codes[: len(p)], codes[len(p) :]
+        order = np.argsort(code, kind="stable")
+        first, last = (np.searchsorted(code[order], mine, side) for side in ("left", "right"))
+        groups = max(1, min(len(p), 8 * k))
+        edges = np.linspace(0, len(p), groups + 1).astype(np.int64)[:-1]
+        found: list[tuple] = []
+        for at in range(0, len(q), scored):
+            s = asked[at : at + scored] @ unit
+            for i in range(len(s)):
+                if last[at + i] > first[at + i]:
+                    s[i, order[first[at + i] : last[at + i]]] = -np.inf
+            floor = np.full(len(s), -np.inf)
+            if groups > k:  # k groups with a better or equal best hold k better or equal rows
+                floor = np.partition(np.maximum.reduceat(s, edges, axis=1), groups - k, axis=1)[:, groups - k]
+            a, b = np.nonzero((s >= floor[:, None] - slack) & (s > -np.inf))
+            if len(a) > k * len(s):  # the k-th best itself is a higher floor
+                c = s[a, b]
+                rank = np.lexsort((-c, a))
+                start = np.searchsorted(a, np.arange(len(s)))
+                full = np.diff(np.append(start, len(a))) >= k
+                floor[full] = c[rank][start[full] + k - 1]
+                keep = c >= floor[a] - slack
+                a, b = a[keep], b[keep]
+            found.append((a + at, b))
+        qi, pi = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        dot = np.zeros(len(qi))
+        for j in range(p.shape[1]):
+            dot += p[pi, j] * q[qi, j]
+        return result(qi, pi, dot / (pn[pi] * qn[qi]))
+
+    return run
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, keep: Column | None = None, max_queries: int = 50) -> DataFrame:
     """query_id, id, score (cosine, 6 digits), rank. ``queries``: query_id, query_vec; at most ``max_queries`` rows are broadcast.
 
-    More queries than that meet the vectors partition by partition. Filters apply below the ranking.
+    More queries than that meet the vectors block by block: every block of queries meets every block of the table, in tasks
+    of bounded size, where a matrix product leaves the pairs that can be among the k best. Of vectors that repeat exactly, the
+    rows of the k + 1 smallest ids take part, as no other can be among the k best. Vectors that are null, of
+    another length than most, or not finite and of a usual size, meet all others as plain columns. Filters apply below the ranking.
     """
     pool = vectors.where(keep) if keep is not None else vectors
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
     pool = pool.select(F.col(id_col).alias("id"), as_double(F.col(vec_col)).alias("v")).withColumn("n", norm(F.col("v")))
-    q = as_batch(queries, max_queries).select("query_id", as_double(F.col("query_vec")).alias("q")).withColumn("qn", norm(F.col("q")))
-    pairs = pool.crossJoin(q).where("id <> query_id")
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn")), 6).alias("score"))
-    return top_k(scored, ["query_id"], k)
+    asked = queries.select("query_id", as_double(F.col("query_vec")).alias("q")).withColumn("qn", norm(F.col("q")))
+
+    def plain(pool: DataFrame, asked: DataFrame) -> DataFrame:
+        pairs = pool.crossJoin(asked).where("id <> query_id")
+        return pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn")), 6).alias("score"))
+
+    if asked.limit(max_queries + 1).count() <= max_queries:
+        return top_k(plain(pool, F.broadcast(asked)), ["query_id"], k)
+    kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((pool, "id"), (asked, "query_id")))
+    if kind != query_kind and not {kind, query_kind} <= {*INTEGERS}:
+        return top_k(plain(pool, asked), ["query_id"], k)
+    own = lambda c: F.col(c).cast("long" if kind in INTEGERS else kind).alias("own")
+    size = pool.agg(F.count(F.lit(1)).alias("rows"), F.mode(F.when(F.size("v") > 0, F.size("v")), True).alias("dim")).first()
+    usual = lambda v, n, id_: F.coalesce((F.size(v) == F.lit(size["dim"])) & (F.col(n) > 1e-100) & (F.col(n) < 1e100) & F.col(id_).isNotNull(), F.lit(False))
+    clean, odd = pool.where(usual("v", "n", "id")), pool.where(~usual("v", "n", "id"))
+    good, rest = asked.where(usual("q", "qn", "query_id")), asked.where(~usual("q", "qn", "query_id"))
+    first = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
+    single = clean.select("id", "v").withColumn("r", first).where(F.col("r") <= k + 1).drop("r")
+    blocks, turns = (max(1, -(-n * (size["dim"] or 0) // b)) for n, b in ((size["rows"], POOL_BLOCK), (asked.count(), QUERY_BLOCK)))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    of = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    left = single.select(of("id", blocks, "block"), every(turns, "turn"), "id", own("id"), "v")
+    right = good.select(every(blocks, "block"), of("query_id", turns, "turn"), "query_id", own("query_id"), "q")
+    score = _block_scorer(k)
+
+    def met(a, b):  # the two blocks of a pair
+        return score(a, b)
+
+    near = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(met, f"query_id {query_kind}, id {kind}, cosine double")
+    scored = near.select("query_id", "id", F.round("cosine", 6).alias("score"))
+    return top_k(scored.unionByName(plain(odd, asked)).unionByName(plain(clean, rest)), ["query_id"], k)
 
 
 def rrf(ranked: list[DataFrame], k: int, constant: int = C.RRF_K) -> DataFrame:

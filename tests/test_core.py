@@ -408,6 +408,25 @@ def test_hashed_embedding_counts_buckets_without_a_walk_for_each(spark):
     assert "array_remove" in plan and "filter(" not in plan
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_dense_search_by_blocks_equals_all_pairs(spark, monkeypatch, kind):
+    import random
+
+    r = random.Random(3)
+    vectors = [[round(r.gauss(0, 1), 2) for _ in range(6)] for _ in range(120)]
+    vectors += [vectors[5]] * 30 + [[2 * x for x in vectors[6]]] * 4 + [[x + 1e-8 for x in vectors[7]]] * 3 + [None, [1.0, None, 1.0, 1.0, 1.0, 1.0], [1.0, 2.0], [float("nan")] * 6, [1e200] + [1.0] * 5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id long, embedding array<double>").select(F.col("id").cast(kind).alias("id"), "embedding")
+    df = df.unionAll(df.where("id in (5, 9)"))  # ids may repeat
+    q = df.where("id % 2 = 1").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    monkeypatch.setattr(search, "POOL_BLOCK", 6 * 50)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 6 * 20)
+    for k in (1, 4, 200):
+        want, df_got = search.dense_top_k(df, q, "id", "embedding", k, max_queries=1000), search.dense_top_k(df, q, "id", "embedding", k, max_queries=0)
+        assert sorted(map(str, df_got.collect())) == sorted(map(str, want.collect()))
+    plan = df_got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # blocks meet blocks
+
+
 def test_company_first(spark):
     cols = "query_id int, id string, score double, rank int"
     p = spark.createDataFrame([(1, "a", 0.1, 1), (2, "a", 0.1, 1), (2, "b", 0.1, 2)], cols)
