@@ -231,7 +231,10 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: st
 
     near = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(met, f"query_id {query_kind}, id {kind}, cosine double")
     scored = near.select("query_id", "id", F.round("cosine", 6).alias("score"))
-    return top_k(scored.unionByName(plain(odd, asked)).unionByName(plain(clean, rest)), ["query_id"], k)
+    for p, q, few in ((odd, asked, odd), (clean, rest, rest)):
+        if not few.isEmpty():  # a product of partitions reads one side again for each of the other, even if it is empty
+            scored = scored.unionByName(plain(p, q))
+    return top_k(scored, ["query_id"], k)
 
 
 def rrf(ranked: list[DataFrame], k: int, constant: int = C.RRF_K) -> DataFrame:

@@ -390,6 +390,8 @@ def test_dense_search_takes_any_number_of_queries(spark):
     q = df.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
     few, many = (search.dense_top_k(df, q, "id", "embedding", 3, max_queries=n).collect() for n in (40, 7))
     assert len(many) == 40 * 3 and sorted(many) == sorted(few)
+    plan = search.dense_top_k(df, q, "id", "embedding", 3, max_queries=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan  # without unusual vectors nothing meets pair by pair
 
 
 def test_tone_stems_only_words_that_begin_like_one(spark):
