@@ -12,6 +12,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +23,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions.partitions import spread
-from corpusq.llm.common import Words, checkpoint, mix64, ship
+from corpusq.llm.common import checkpoint, mix64, ship
 from corpusq.llm.sp_fst import _spans
 
-#: Parts of white-space-separated chunks whose ids a worker remembers (about 200 bytes each); a full memory starts anew.
+#: Runs of letters, or of what stands behind them, whose ids a worker remembers (about 50 bytes each); from a full memory
+#: the half met most often stays.
 MEMORY = 250_000
+#: Bytes up to which a chunk is remembered and handled together with others.
+SHORT = 40
 PARTS = regex.compile(r"\p{L}+|\P{L}+")
 #: What keeps a chunk whole: apostrophes, special marks, other scripts (from U+0240 on) and a letter that grows in lower case.
 ODD = re.compile(rb"['<\xc9-\xff]|\xc4\xb0")
-MARKS = b".,;:!?"
+#: The same for Arrow, over characters.
+ODD_TEXT = r"['<\x{240}-\x{10FFFF}]|\x{130}"
+#: What can stand behind letters as a run of its own: ASCII without letters, white space, controls, apostrophe and <.
+BEHIND = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalpha() and c not in "'<")
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The byte alphabet of byte-level BPE: bytes of visible characters stand for themselves, the others follow from 256 on.
 BYTES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+#: What one byte does to a CRC-32.
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, CRC >> np.uint32(1) ^ np.uint32(0xEDB88320), CRC >> np.uint32(1))
 K1, B = 1.2, 0.75
 
 
@@ -59,6 +70,8 @@ class Ids:
         #: Whether the model alone gives a run of letters the same ids, when its bytes are spelled in the byte alphabet.
         self.by_model = all(self.word(w) == np.array(one(w), "<u4").tobytes() for w in words)
         self.part: dict[bytes, bytes] = {}
+        #: Remembered runs, in how many calls each was met, and their ids.
+        self.runs, self.met, self.pool = pa.array([], pa.string()), np.zeros(0, np.int64), Pool.of([])
 
     def word(self, word: str) -> bytes:
         """Ids of a lower-case run of letters, from the tokenizer's model without its other steps."""
@@ -83,70 +96,140 @@ class Ids:
             made[t] = np.array(e.ids, "<u4").tobytes()
         return [made[t] for t in texts]
 
+    def rows(self, runs: pa.StringArray) -> np.ndarray:
+        """The row in memory of each run of lower-case letters or of other characters; new runs are spelled."""
+        if len(self.runs) > MEMORY:
+            keep = np.sort(np.argsort(self.met, kind="stable")[-(MEMORY // 2) :])
+            self.runs, self.met, self.pool = self.runs.take(pa.array(keep)), self.met[keep] // 2, self.pool.take(keep)
+        coded = runs.dictionary_encode()
+        row = pc.index_in(coded.dictionary, value_set=self.runs)
+        fresh = coded.dictionary.filter(row.is_null())
+        row = row.fill_null(-1).to_numpy().copy()
+        if len(fresh):
+            row[row < 0] = len(self.runs) + np.arange(len(fresh))
+            new = fresh.to_pylist()
+            others = [r for r in new if not r.isalpha()]
+            made = dict(zip(others, self.fresh(others), strict=True))
+            self.pool = self.pool.plus(Pool.of([made[r] if r in made else self.word(r) for r in new]))
+            self.runs, self.met = pa.concat_arrays([self.runs, fresh]), np.append(self.met, np.zeros(len(new), np.int64))
+        self.met[row] += 1
+        return row[coded.indices.to_numpy()]
+
+    def spell(self, words: pa.StringArray) -> Pool:
+        """Ids of each chunk: letters and what stands behind them by their rows in memory, all at once; others one by one."""
+        plain = np.zeros(len(words), bool)
+        first, size = np.zeros((2, len(words), 2), np.int64)
+        if self.by_part and self.by_model:
+            core = pc.ascii_rtrim(words, BEHIND)
+            letters = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(core, ODD_TEXT)))
+            data, at, n = raw_bytes(words)
+            k = n - pc.binary_length(core).to_numpy()
+            plain = (letters.to_numpy(zero_copy_only=False) | (k == n)) & (n <= SHORT)
+            start, k = (at + n - k)[plain], k[plain]
+            behind = pa.StringArray.from_buffers(len(k), pa.py_buffer(np.append(0, np.cumsum(k)).astype(np.int32)), pa.py_buffer(data[_spans(start, k)]))
+            row = self.rows(pa.concat_arrays([pc.utf8_lower(core.filter(pa.array(plain))), behind])).reshape(2, -1).T
+            first[plain], size[plain] = self.pool.first[row], self.pool.size[row]
+        pool = self.pool
+        if not plain.all():
+            rest = Pool.of(self.chunks(words.filter(pa.array(~plain)).cast(pa.binary()).to_pylist()))
+            first[~plain, 0], size[~plain, 0] = rest.first + len(pool.ids), rest.size
+            pool = pool.plus(rest)
+        n = size.sum(axis=1)
+        return Pool(pool.ids[_spans(first.ravel(), size.ravel())], np.cumsum(n) - n, n)
+
     def chunks(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk, from those of its parts."""
         if len(self.part) > MEMORY:
             self.part = {}
         part, other, out, whole = self.part, self._part, [], []
         for c in chunks:
-            ids = b""
-            if self.by_part:
-                core = c.rstrip(MARKS)
-                if core.isalpha():  # ASCII letters, perhaps with marks behind
-                    low = core.lower()
-                elif core and not ODD.search(core) and (text := core.decode()).isalpha():
-                    low = text.lower().encode()
-                elif not ODD.search(c):
-                    out.append(b"".join([part.get(k := p.encode()) or other(k) for p in PARTS.findall(c.decode().lower())]))
-                    continue
-                else:
-                    low = b""
-                if low:
-                    ids = part.get(low) or other(low)
-                    if len(core) < len(c):
-                        ids += part.get(tail := c[len(core) :]) or other(tail)
-            if not ids:
+            if self.by_part and not ODD.search(c):
+                out.append(b"".join([part.get(k := p.encode()) or other(k) for p in PARTS.findall(c.decode().lower())]))
+            else:
                 whole.append(len(out))
-            out.append(ids)
+                out.append(b"")
         for at, ids in zip(whole, self.fresh([chunks[i].decode() for i in whole]), strict=True):
             out[at] = ids
         return out
 
     def _part(self, part: bytes) -> bytes:
-        """Ids of a run of lower-case letters, or of what stands between two; remembers them."""
+        """Ids of a run of lower-case letters, or of what stands between two; remembers those of a short one."""
         text = part.decode()
-        ids = self.part[part] = self.word(text) if self.by_model and text.isalpha() else self.fresh([text])[0]
+        ids = self.word(text) if self.by_model and text.isalpha() else self.fresh([text])[0]
+        if len(part) <= SHORT:
+            self.part[part] = ids
         return ids
 
-    def texts(self, texts: list[bytes | None], words: list[bytes], flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    def texts(self, texts: pa.StringArray, words: pa.StringArray, flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         """Ids of each text; words, flat and ends are what :func:`cut_words` gives for the texts."""
         if not self.by_chunk:
-            return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)]
+            return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         if not len(flat):
             return [np.zeros(0, "<u4")] * len(texts)
-        parts = self.chunks(words)
-        size = np.array([len(p) for p in parts]) // 4
-        pool, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
-        ids, cum = pool[_spans(first[flat], size[flat])], np.append(0, np.cumsum(size[flat]))
+        pool = self.spell(words)
+        size = pool.size[flat]
+        ids, cum = pool.ids[_spans(pool.first[flat], size)], np.append(0, np.cumsum(size))
         return [ids[cum[a] : cum[b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def cut_words(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct white-space-separated words, each word's row among them, and where each text's words start (and the end)."""
-    words, rows = Words(), []
-    for t in texts:
-        cut = t.split() if t else ()
-        rows.append(np.fromiter(map(words.__getitem__, cut), np.int32, len(cut)))
-    return list(words), np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+class Pool(NamedTuple):
+    """Runs of ids: all ids, and where each run starts among them and how many it has."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(runs: list[bytes]) -> Pool:
+        size = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        return Pool(np.frombuffer(b"".join(runs), "<u4"), np.cumsum(size) - size, size)
+
+    def plus(self, more: Pool) -> Pool:
+        return Pool(np.append(self.ids, more.ids), np.append(self.first, more.first + len(self.ids)), np.append(self.size, more.size))
+
+    def take(self, rows: np.ndarray) -> Pool:
+        size = self.size[rows]
+        return Pool(self.ids[_spans(self.first[rows], size)], np.cumsum(size) - size, size)
+
+
+def raw_bytes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of the words, and where each word starts among them and how many it has."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8), at[:-1], np.diff(at)
 
 
-def routes(words: list[bytes], flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def cut_words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Distinct words between ASCII white space, each word's row among them, and where each text's words start (and the end)."""
+    cut = pc.ascii_split_whitespace(texts)
+    words, number = cut.flatten(), pc.list_value_length(cut).fill_null(0).to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty word
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    coded = words.filter(full).dictionary_encode()
+    return coded.dictionary.cast(pa.string()), coded.indices.to_numpy(), before[np.append(0, np.cumsum(number))]
+
+
+def crc32s(words: pa.StringArray) -> np.ndarray:
+    """zlib.crc32 of each word, byte by byte for all words at once; long words by themselves."""
+    data, first, size = raw_bytes(words)
+    out, long = np.full(len(words), 0xFFFFFFFF, np.uint32), np.nonzero(size > SHORT)[0]
+    at, j = np.nonzero(size <= SHORT)[0], 0
+    while len(at := at[size[at] > j]):
+        out[at] = CRC[(out[at] ^ data[first[at] + j]) & np.uint32(255)] ^ (out[at] >> np.uint32(8))
+        j += 1
+    out = ~out
+    out[long] = [zlib.crc32(data[a : a + n]) for a, n in zip(first[long].tolist(), size[long].tolist(), strict=True)]
+    return out
+
+
+def routes(words: pa.StringArray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Two 64-bit numbers a text. Each is the name of the word of the least hash, drawn at a rate of its squared length.
 
     Two texts agree in a number with the probability of their words' weighted overlap. Texts without words have zeros.
     """
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    code = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) << np.uint64(8) | np.minimum(size, 255).astype(np.uint64)
+    size = raw_bytes(words)[2]
+    code = crc32s(words).astype(np.uint64) << np.uint64(8) | np.minimum(size, 255).astype(np.uint64)
     rate = np.minimum(size, 20) ** 2.0
     out, full = np.zeros((len(ends) - 1, 2), np.int64), np.nonzero(np.diff(ends))[0]
     for k in range(2):
@@ -302,6 +385,22 @@ def pack_shard(docs: list[np.ndarray], window: int, idf: np.ndarray, mean: float
     return pieces
 
 
+def grouped(batches: Iterator[pa.RecordBatch], rows: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows`` rows or ``size`` bytes, whichever is less, as words shared by a batch cost once."""
+    held: list[pa.RecordBatch] = []
+    step, n = max(1, min(50, rows)), 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            part = whole.slice(at, step)
+            if held and (sum(b.num_rows for b in held) + part.num_rows > rows or n + part.nbytes > size):
+                yield pa.concat_batches(held)
+                held, n = [], 0
+            held.append(part)
+            n += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 2000, shard_tokens: int = 1_000_000, group: int = 1000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -320,25 +419,23 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int |
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = token_ids(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, group):
-                batch = whole.slice(at, group)
-                texts = batch.column(1).to_pylist()
-                cut = cut_words(texts)
-                ids = t.texts(texts, *cut)
-                if end_id is not None:
-                    ids = [np.append(x, np.uint32(end_id)) for x in ids]
-                crc = [[zlib.crc32(x[i : i + window].astype("<u4").tobytes()) for i in range(0, len(x) - window + 1, window)] for x in ids]
-                rest = [x[len(x) // window * window :] for x in ids]
-                wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in rest]
-                raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(rest, wide, strict=True)]
-                route = routes(*cut)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.list_(pa.int64())), pa.array(wide), pa.array(raw, pa.binary()), pa.array(route[:, 0]), pa.array(route[:, 1])], ["doc_id", "n", "crc", "wide", "ids", "r1", "r2"])
+        for batch in grouped(batches, group):
+            texts = batch.column(1)
+            cut = cut_words(texts)
+            ids = t.texts(texts, *cut)
+            if end_id is not None:
+                ids = [np.append(x, np.uint32(end_id)) for x in ids]
+            crc = [[zlib.crc32(x[i : i + window].astype("<u4").tobytes()) for i in range(0, len(x) - window + 1, window)] for x in ids]
+            rest = [x[len(x) // window * window :] for x in ids]
+            wide = [len(x) > 0 and int(x.max()) > 0xFFFF for x in rest]
+            raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(rest, wide, strict=True)]
+            route = routes(*cut)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.list_(pa.int64())), pa.array(wide), pa.array(raw, pa.binary()), pa.array(route[:, 0]), pa.array(route[:, 1])], ["doc_id", "n", "crc", "wide", "ids", "r1", "r2"])
 
     tokens = checkpoint(rows.mapInArrow(tokenise, f"doc_id {kind}, n long, crc array<long>, wide boolean, ids binary, r1 long, r2 long"))
     rests = tokens.where(F.length("ids") > 0)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,34 @@ def test_packing_covers_every_id_once(spark, odd, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def test_packing_spells_short_words_together_and_frequent_ones_once(monkeypatch):
+    """Ids are the library's, though only odd words go one by one and a full memory forgets rare words."""
+    monkeypatch.setattr(packing, "MEMORY", 300)
+    ids, spelled, single = packing.Ids(WORDS), Counter(), []
+    word, chunks = ids.word, ids.chunks
+    ids.word = lambda w: spelled.update([w]) or word(w)
+    ids.chunks = lambda cs: single.extend(cs) or chunks(cs)
+    r = random.Random(11)
+    for _ in range(20):
+        rare = ["".join(r.choices("bcdfgaeiouäé", k=9)) for _ in range(100)]
+        texts = [" ".join(["The", "the,", "Überall", "3.14", "end.***", *rare, "it's", "x" * 50]), None, " \t", ""]
+        got = ids.texts(pa.array(texts), *packing.cut_words(pa.array(texts)))
+        assert [x.tolist() for x in got] == [ids.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert spelled["the"] == spelled["überall"] == spelled["end"] == 1 and len(spelled) > 1900
+    assert set(single) == {b"it's", b"x" * 50} and len(ids.runs) < 600
+    every = [" ".join(f"{c} {c}a{c}B{c} {c}. c{c}1{c}" for c in map(chr, range(0x21, 0x260)))]
+    assert ids.texts(pa.array(every), *packing.cut_words(pa.array(every)))[0].tolist() == ids.tok.encode(every[0], add_special_tokens=False).ids
+
+
+def test_packing_cuts_words_and_routes_by_their_crc32():
+    texts = ["\n a b\x0b\x0cb  ", None, "", "é\x1ca " + "long" * 20, " "]
+    words, flat, ends = packing.cut_words(pa.array(["cut off", *texts])[1:])
+    assert [[words[i].as_py().encode() for i in flat[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [(t or "").encode().split() for t in texts]
+    assert packing.crc32s(words).tolist() == [zlib.crc32(w.encode()) for w in words.to_pylist()]
+    parts = list(packing.grouped(iter([pa.record_batch({"t": ["x" * n]}) for n in (1, 1, 1, 50, 1)]), rows=2, size=40))
+    assert [b.column(0).to_pylist() for b in parts] == [["x", "x"], ["x"], ["x" * 50], ["x"]]
+
+
 def test_packing_puts_related_documents_together():
     a, b = np.arange(100, 160, dtype="<u4"), np.arange(500, 560, dtype="<u4")
     got = packing.pack_shard([a, b, a + 3, b + 3], 120, np.ones(600), 60.0)
